@@ -1,0 +1,86 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from treeline.llm import packing
+from treeline.llm.common import vocabulary
+from treeline.llm.queries import WORD_VOCABULARY, op8_drr_packing
+
+
+def check_layout(pieces, length):
+    by_seq = defaultdict(list)
+    for p in pieces:
+        by_seq[p.sequence_id].append((p.offset, p.length))
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    padding = 0
+    for spans in by_seq.values():
+        at = 0
+        for off, n in sorted(spans):
+            assert off == at and n > 0
+            at += n
+        assert at <= length
+        padding += 0 if at & (at - 1) == 0 else length - at
+    assert padding == 0
+
+
+def check_pieces(pieces, rows):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(vocabulary(WORD_VOCABULARY)), defaultdict(list)
+    for p in pieces:
+        own[p.doc_id].append(p)
+    for doc_id, text in rows:
+        ids, at = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for p in sorted(own.pop(doc_id), key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    assert not own
+
+
+def test_whole_table(spark, sf_dir):
+    pieces = op8_drr_packing(spark, sf_dir).collect()
+    check_layout(pieces, 2048)
+    check_pieces(pieces, [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()])
+
+
+def test_awkward_rows_and_weights(spark):
+    rows = [(1, None, "a"), (2, "", None), (3, "word " * 9000, "a"), (4, "x", "b"), (5, "un deux", "b"), (None, "y", "c")]
+    docs = spark.createDataFrame([(*r, 7, "z") for r in rows], "doc_id long, text string, source string, part int, queue string")
+    pieces = packing.pack(spark, docs, vocabulary(WORD_VOCABULARY), 1, weights={"a": 1, "b": 1, "c": 3, None: 2}, length=64, window=2, digest=True).collect()
+    check_layout(pieces, 64)
+    check_pieces(pieces, [r[:2] for r in rows])
+    assert packing.pack(spark, docs.limit(0), vocabulary(WORD_VOCABULARY), 1).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3000), st.integers(1, 50)), min_size=1, max_size=6), st.booleans())
+def test_schedule_serves_by_deficit(queues, natural):
+    totals, weights = [q[0] for q in queues], [q[1] for q in queues]
+    s = packing.Schedule(totals, None if natural else weights, window=128, length=32)
+    w = totals if natural else weights
+    last = [0] * len(totals)
+    for served in range(0, s.all + 1, 37):
+        now = s.taken(served)
+        assert sum(now) == served and all(a <= b <= n for a, b, n in zip(last, now, totals))
+        last = now
+        if all(b < n for b, n in zip(now, totals)):  # no queue is dry: the deficit stays bounded
+            assert all(abs(served * x / sum(w) - b) <= len(w) for x, b in zip(w, now))
+    assert s.taken(s.all) == totals
+
+
+def test_brute_force_service_order():
+    s = packing.Schedule([7, 30, 13], [3, 5, 1], window=8, length=4)
+    order = sorted(((2 * y + 1) / (2 * w), q) for q, (n, w) in enumerate(zip([7, 30, 13], [3, 5, 1])) for y in range(n))
+    for k in range(9):  # before the first queue runs dry
+        assert s.taken(k) == [sum(q == i for _, q in order[:k]) for i in range(3)]
+
+
+def test_a_queue_needs_weight():
+    with pytest.raises(ValueError):
+        packing.Schedule([3, 2], [1, 0])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import huffman
+from treeline.llm import huffman, packing, prefixcount
 from treeline.llm.common import read, shared_dir, vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -20,8 +20,16 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, path, digest=True)
 
 
+def op8_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, read(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), end_id=1, digest=True)
+
+
+def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixcount.count_tokens(spark, read(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY), limit=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_huffman_ids": op2_huffman_ids}
+    return {f.__name__: f for f in (op2_huffman_ids, op8_drr_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
