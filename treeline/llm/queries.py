@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treeline.llm import huffman, packing, prefixcount
+from treeline.llm import huffman, langid, packing, prefixcount, quality, secretscan
 from treeline.llm.common import read, shared_dir, vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +21,21 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, path, digest=True)
 
 
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(spark, read(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = langid.fit(spark, docs.where(~held_out))
+    return langid.predict(spark, docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, read(spark, sf_dir, "documents"))
+
+
 def op8_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), end_id=1, digest=True)
 
@@ -29,7 +45,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_huffman_ids, op8_drr_packing, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op2_huffman_ids, op4_secret_spans, op6_language_id, op7_quality_bands, op8_drr_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
