@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import huffman, langid, packing, prefixcount, quality, secretscan
+from treeline.llm import huffman, langid, packing, prefixcount, quality, secretscan, simhash
 from treeline.llm.common import read, shared_dir, vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,11 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, path, digest=True)
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(spark, read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(spark, read(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_huffman_ids, op4_secret_spans, op6_language_id, op7_quality_bands, op8_drr_packing, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op2_huffman_ids, op3_simhash_groups, op4_secret_spans, op6_language_id, op7_quality_bands, op8_drr_packing, op10_prefix_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
