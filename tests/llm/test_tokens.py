@@ -1,0 +1,24 @@
+import numpy as np
+import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from treeline.llm import tokens
+from treeline.llm.common import vocabulary
+
+OWN = tokens.WordEncoder(vocabulary("word_bpe_49k.json"))
+TEXT = st.text(st.one_of(st.sampled_from("abcXYZ thereofß\n\t '’s'mDll12é́_-*<|>ÿ×÷½"), st.characters(codec="utf-8")), max_size=60)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.sampled_from(["<|endoftext|>", "a<|startoftext|>b", "it's we'll I'M", "ΣΑΣ İ ǅ"])), max_size=4).map("".join))
+def test_ids_are_the_librarys(text):
+    assert np.frombuffer(OWN.encode([text])[0], OWN.dtype).tolist() == OWN.library.encode(text, add_special_tokens=False).ids
+
+
+def test_real_texts_with_a_small_cache(monkeypatch, sf_dir):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    own = tokens.WordEncoder(vocabulary("word_bpe_49k.json"))
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, own.dtype).tolist() == own.library.encode(text, add_special_tokens=False).ids

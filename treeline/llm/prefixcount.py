@@ -16,15 +16,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from treeline.llm.cache import Cache
 from treeline.llm.common import id_text, prepare
 
 BLANK = "▁"
-CACHE_WORDS = 400_000
-CACHE_CHARS = 48
 CACHE_PAIRS = 1_000_000
 
 _counters: dict[str, "PrefixCounter"] = {}
@@ -38,47 +38,58 @@ class PrefixCounter:
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.pieces = {sp.id_to_piece(i) for i in ids}
+        self.pieces = {sp.id_to_piece(i): i for i in ids}
         if any("\n" in p or BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("pieces cross words: runs can't be counted one by one")
-        self.longest = max(map(len, self.pieces))
-        self.pairs: dict[tuple[str | None, str], bool] = {}
-        self.totals: dict[str, int] = {}
-
-    def _follows(self, last: str | None, piece: str) -> bool:
-        """Whether *piece* after *last* (None: a barrier) comes out as just these two."""
-        key = (last, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            text = "\n" + ((last or "") + piece).replace(BLANK, " ")
-            # Before the text come the library's blank and the line feed's byte.
-            found = self.pairs[key] = self.library.encode(text, out_type=str)[2:] == ([piece] if last is None else [last, piece])
+        # All pieces that end at each character, longest first.
+        self.ending = ahocorasick.Automaton()
+        for piece, i in self.pieces.items():
+            self.ending.add_word(piece, (i, len(piece)))
+        self.ending.make_automaton()
+        self.width = sp.vocab_size() + 1
+        self.pairs: dict[int, bool] = {}
+        self.totals = Cache(self._key_total)
+
+    def _follows(self, last: int, piece: int) -> bool:
+        """Whether *piece* after *last* (-1: a barrier) comes out as just these two."""
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        own = [piece] if last < 0 else [last, piece]
+        text = "\n" + "".join(map(self.library.id_to_piece, own)).replace(BLANK, " ")
+        # Before the text come the library's blank and the line feed's byte.
+        found = self.pairs[last * self.width + piece] = self.library.encode(text)[2:] == own
         return found
 
     def run_counts(self, run: str) -> list[int]:
         """Tokens of run[:j] for each j; *run* has blanks as ``BLANK``."""
-        counts, lasts, pieces, pairs = [0], [None], self.pieces, self.pairs
-        for j in range(1, len(run) + 1):
-            for i in range(max(0, j - self.longest), j):
-                piece = run[i:j]
-                if piece in pieces:
-                    last = lasts[i]
-                    ok = pairs.get((last, piece))
-                    if ok is None:
-                        ok = self._follows(last, piece)
-                    if ok:
-                        counts.append(counts[i] + 1)
-                        lasts.append(piece)
-                        break
-            else:
-                # No piece ends here: the character falls back to bytes, which merge with nothing.
-                counts.append(counts[j - 1] + len(run[j - 1].encode("utf-8", "surrogatepass")))
-                lasts.append(None)
+        counts, lasts, get, width, done = [0], [-1], self.pairs.get, self.width, 0
+        for end, (piece, size) in self.ending.iter(run):
+            if end < done:
+                continue  # a longer piece has been found to end here
+            while done < end:
+                self._bytes_of(run[done], counts, lasts)
+                done += 1
+            last = lasts[end + 1 - size]
+            ok = get(last * width + piece)
+            if ok is None:
+                ok = self._follows(last, piece)
+            if ok:
+                counts.append(counts[end + 1 - size] + 1)
+                lasts.append(piece)
+                done = end + 1
+        while done < len(run):
+            self._bytes_of(run[done], counts, lasts)
+            done += 1
         return counts
 
+    @staticmethod
+    def _bytes_of(char: str, counts: list[int], lasts: list[int]) -> None:
+        """No piece ends with this character: it falls back to bytes, which merge with nothing."""
+        counts.append(counts[-1] + len(char.encode("utf-8", "surrogatepass")))
+        lasts.append(-1)
+
     def _key_total(self, key: str) -> int:
+        """Tokens of a word with the blank before it, or of a line feed and the word after it."""
         return 1 + self.run_counts(key[1:])[-1] if key[0] == "\n" else self.run_counts(BLANK + key)[-1]
 
     @staticmethod
@@ -87,15 +98,10 @@ class PrefixCounter:
 
     def totals_of(self, texts: list[str]) -> list[int]:
         """Token counts of whole texts."""
-        keys, totals = [self._keys(t) for t in texts], self.totals
-        new = set().union(*keys) - totals.keys() - {""}
-        if len(totals) + len(new) > CACHE_WORDS:
-            totals.clear()
-            new = set().union(*keys) - {""}
-        for key in new:
-            totals[key] = self._key_total(key)
+        totals = self.totals
         out = []
-        for text, own in zip(texts, keys):
+        for text in texts:
+            own = self._keys(text)
             if not text:
                 out.append(0)
             elif "" not in own:
@@ -112,9 +118,6 @@ class PrefixCounter:
                     else:
                         n, blanks = n + self.run_counts(BLANK * (blanks + 1) + key)[-1], 0
                 out.append(n + (self.run_counts(BLANK * blanks)[-1] if blanks else 0))
-        for key in new:
-            if len(key) > CACHE_CHARS:
-                del totals[key]
         return out
 
     def prefixes(self, text: str) -> np.ndarray:
