@@ -86,3 +86,11 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """*name*, or that with underscores put before it, such that *docs* has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

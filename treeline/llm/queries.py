@@ -8,13 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import huffman, langid, packing, prefixcount, quality, secretscan, simhash
+from treeline.llm import decontam, huffman, langid, linededup, packing, prefixcount, quality, secretscan, simhash
 from treeline.llm.common import read, shared_dir, vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     huffman.write_ids(spark, read(spark, sf_dir, "documents"), path, vocabulary(WORD_VOCABULARY), end_id=2)
@@ -45,13 +49,18 @@ def op8_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), end_id=1, digest=True)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcount.count_tokens(spark, read(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY), limit=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_huffman_ids, op3_simhash_groups, op4_secret_spans, op6_language_id, op7_quality_bands, op8_drr_packing, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_huffman_ids, op3_simhash_groups, op4_secret_spans, op6_language_id, op7_quality_bands, op8_drr_packing, op9_line_dedup, op10_prefix_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": linededup.ORACLE}
