@@ -3,7 +3,7 @@ import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from treeline.llm import tokens
+from treeline.llm import cache, tokens
 from treeline.llm.common import vocabulary
 
 OWN = tokens.WordEncoder(vocabulary("word_bpe_49k.json"))
@@ -17,7 +17,7 @@ def test_ids_are_the_librarys(text):
 
 
 def test_real_texts_with_a_small_cache(monkeypatch, sf_dir):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    monkeypatch.setattr(cache, "CACHE_WORDS", 50)
     own = tokens.WordEncoder(vocabulary("word_bpe_49k.json"))
     texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
     for text, ids in zip(texts, own.encode(texts)):

@@ -1,21 +1,26 @@
-"""Token ids of whole texts, one encoder call per new word instead of per text.
+"""Token ids of whole texts, with the library called once per new word instead of per text.
 
 The word vocabulary's rules drop white space and never look across it, so the ids of a text
 are the ids of its pieces between blanks.  Only blanks and line feeds are cut at; whatever
-other white space there is stays inside a piece, where the library itself handles it.
+other white space there is stays inside a piece.  A piece of plain Latin-1 characters is folded and
+split here by the same rules, and the library's model encodes its parts; any other piece goes
+through the whole library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Words kept in a worker's memory; the cache is emptied when full.
-CACHE_WORDS = 300_000
-CACHE_CHARS = 64
+from treeline.llm.cache import Cache
+
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: The split rule of the vocabulary file, for plain pieces.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+").findall
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -29,24 +34,36 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.bytes = _byte_letters()
+        parts = Cache(self._part)
+        self.part = parts.__getitem__
+        self.cache = Cache(self._piece)
+
+    def _part(self, part: str) -> bytes:
+        spelled = part if part.isascii() else "".join(map(self.bytes.__getitem__, part.encode()))
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if PLAIN(piece) and "<|" not in piece:
+            return b"".join(map(self.part, PARTS(piece.lower())))
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        new = list(set().union(*pieces) - cache.keys())
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(set().union(*pieces))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                cache[word] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(cache.__getitem__, p)) for p in pieces]
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                del cache[word]
-        return out
+        get = self.cache.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    out, spare = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
 
 
 def encoder(path: str) -> WordEncoder:
