@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import decontam, huffman, langid, linededup, packing, prefixcount, quality, secretscan, simhash
+from treeline.llm import decontam, huffman, langid, linededup, packing, prefixcount, quality, secretscan, simhash, substring
 from treeline.llm.common import read, shared_dir, vocabulary
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(spark, read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(spark, read(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -59,7 +63,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_huffman_ids, op3_simhash_groups, op4_secret_spans, op6_language_id, op7_quality_bands, op8_drr_packing, op9_line_dedup, op10_prefix_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_huffman_ids, op3_simhash_groups, op4_secret_spans, op5_substring_dedup, op6_language_id, op7_quality_bands, op8_drr_packing, op9_line_dedup, op10_prefix_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
