@@ -1,0 +1 @@
+"""Workload-driven search over entity relations, on Spark."""
