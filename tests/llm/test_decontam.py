@@ -57,7 +57,7 @@ def test_wand_retrieves_all_above_the_threshold(seed, threshold):
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 25)))) for i in range(80)]
     index = index_of(items)
     terms = sorted({index.vocabulary[w] for w in rng.sample(vocabulary, 30) if w in index.vocabulary})
-    got = dict(index.wand(terms, threshold))
+    got = dict(index.wand(terms, None, threshold))
     want = brute_scores(index, terms)
     assert {i for i, s in want.items() if s >= threshold + 1e-9} <= set(got) <= {i for i, s in want.items() if s >= threshold - 1e-9}
 

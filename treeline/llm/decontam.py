@@ -3,9 +3,9 @@
 Training texts are cut into overlapping passages, twice as long as the longest item of the shard and half
 overlapping, so any item fits whole into one.  Each passage is a query against the items.  An
 item's BM25 weights are divided by their sum, so a passage scores the share of the item's weight that
-its words carry, and ``THRESHOLD`` means the same for all items.  Bounds prune first by each
-term's largest weight, then by its largest weight in a block of ``BLOCK`` items; what is left goes through WAND
-over the postings.  Every item found above the threshold is verified: the passage must hold
+its words carry, and ``THRESHOLD`` means the same for all items.  A term's largest weight in each block of
+``BLOCK`` items bounds what a passage can score there; blocks that can't reach the threshold are skipped, the others go
+through WAND over the postings.  Every item found above the threshold is verified: the passage must hold
 ``OVERLAP`` of the word trigrams of its question and of its answer (its last sentence or,
 with one sentence only, its last quarter).
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,11 @@ from treeline.llm.common import id_text, prepare
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.5
-BLOCK = 16
+BLOCK = 4
+#: Rounding of the bounds' sums.
+SLACK = 1e-4
+#: Half passages whose bounds are summed at once.
+HALVES = 128
 SHARD_ITEMS = 1024
 MIN_PASSAGE = 128
 OUTER = string.punctuation + "«»“”‘’„…–—¿¡"
@@ -65,6 +70,16 @@ def grams(ids: list[int], n: int) -> set[tuple[int, ...]]:
     return {tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)}
 
 
+def _sums(rows: np.ndarray, group: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Sums of the chosen rows by their sorted group, for groups 0 to HALVES."""
+    out = np.zeros((HALVES + 1, rows.shape[1]), np.float32)
+    group = group[chosen]
+    if len(group):
+        begun = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        out[group[begun]] = np.add.reduceat(rows[chosen], begun, axis=0)
+    return out
+
+
 class ItemIndex:
     """Index of one shard of items; *frequency*, *count* and *average* describe the whole benchmark."""
 
@@ -89,88 +104,95 @@ class ItemIndex:
             for t, w in weights.items():
                 postings.setdefault(t, []).append((n, w / total))
         self.postings = [postings[t] for t in range(len(names))]
-        blocks = -(-len(self.items) // BLOCK)
-        self.block_most = np.zeros((len(names), max(1, blocks)), np.float32)
+        self.places = [[n for n, _ in own] for own in self.postings]
+        self.block_most = np.zeros((len(names), -(-len(self.items) // BLOCK)), np.float32)
         for t, own in enumerate(self.postings):
             for n, w in own:
-                self.block_most[t, n // BLOCK] = max(self.block_most[t, n // BLOCK], np.float32(w) * np.float32(1.00001))
-        self.most = self.block_most.max(axis=1, initial=0)
+                self.block_most[t, n // BLOCK] = max(self.block_most[t, n // BLOCK], np.float32(w))
         self.grams = [tuple((grams(p, min(3, len(p))), min(3, len(p))) for p in qa) for qa in self.parts]
         self.stride = max(MIN_PASSAGE // 2, self.longest)
 
-    def wand(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """Items whose score over *terms* (distinct) reaches *threshold*, by block-max WAND."""
-        cursors = [[self.postings[t], 0, t] for t in terms]
+    def wand(self, terms: list[int], blocks: list[int] | None = None, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
+        """Items of *blocks* (default: all) whose score over *terms* (distinct) reaches *threshold*."""
+        blocks = list(range(self.block_most.shape[1])) if blocks is None else blocks
+        if not blocks or not terms:
+            return []
+        slots, goal = {b: j for j, b in enumerate(blocks)}, threshold - SLACK
+        bounds = self.block_most[np.array(terms)][:, np.array(blocks)]
+        most, bounds = bounds.max(axis=1).tolist(), bounds.tolist()
+        cursors = []
+        for k, t in enumerate(terms):
+            at = bisect_left(self.places[t], blocks[0] * BLOCK) if most[k] else len(self.places[t])
+            if at < len(self.places[t]):
+                cursors.append([self.places[t], at, k, self.postings[t]])
         found = []
         while cursors:
-            cursors.sort(key=lambda c: c[0][c[1]][0])
+            cursors.sort(key=lambda c: c[0][c[1]])
             bound = 0.0
             for pivot, c in enumerate(cursors):
-                bound += self.most[c[2]]
-                if bound >= threshold:
+                bound += most[c[2]]
+                if bound >= goal:
                     break
             else:
                 break
-            item = cursors[pivot][0][cursors[pivot][1]][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0][cursors[pivot + 1][1]][0] == item:
+            item = cursors[pivot][0][cursors[pivot][1]]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0][cursors[pivot + 1][1]] == item:
                 pivot += 1
             upto = cursors[: pivot + 1]
-            block = item // BLOCK
-            if sum(self.block_most[c[2], block] for c in upto) >= threshold:
-                if upto[0][0][upto[0][1]][0] == item:
-                    score = sum(c[0][c[1]][1] for c in upto)
+            slot = slots.get(item // BLOCK)
+            if slot is None:
+                later = bisect_left(blocks, item // BLOCK)
+                if later == len(blocks):
+                    break
+                target = blocks[later] * BLOCK
+            elif sum(bounds[c[2]][slot] for c in upto) >= goal:
+                target = item
+                if upto[0][0][upto[0][1]] == item:
+                    score = sum(c[3][c[1]][1] for c in upto)
                     if score >= threshold:
                         found.append((item, score))
                     target = item + 1
-                else:
-                    target = item
             else:
                 # No item of this block can reach the threshold with these terms; the next one's
                 # cursor may stand inside it, so go no further than that.
-                target = (block + 1) * BLOCK
+                target = (item // BLOCK + 1) * BLOCK
                 if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0][cursors[pivot + 1][1]][0])
-            for c in upto:
-                own = c[0]
-                while c[1] < len(own) and own[c[1]][0] < target:
-                    c[1] += 1
+                    target = min(target, cursors[pivot + 1][0][cursors[pivot + 1][1]])
+            for c in upto if slot is not None else cursors:
+                c[1] = bisect_left(c[0], target, c[1])
             cursors = [c for c in cursors if c[1] < len(c[0])]
         return found
 
-    def passages(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Bounds of the passages of a text that may hold an item, from word ids (-1: unknown)."""
+    def passages(self, ids: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(begin, end, blocks) of the passages of a text that may hold an item, with the blocks it may be
+        in, from word ids (-1: unknown): the sum of block maxima over a passage's distinct words."""
         at = np.flatnonzero(ids >= 0)
         if not len(at):
-            return []
+            return
         known, half = ids[at], at // self.stride
         # Where each word stood last: only its first place in a passage counts.
         order = np.argsort(known, kind="stable")
         last = np.full(len(at), -2)
         same = known[order[1:]] == known[order[:-1]]
         last[order[1:][same]] = half[order[:-1][same]]
-        n = int(half[-1]) + 1
         own, lead = last < half, last < half - 1
-
-        def bounds(weights: np.ndarray) -> np.ndarray:
-            return np.bincount(half[own], weights[own], n + 1)[:n] + np.bincount(half[lead], weights[lead], n + 1)[1 : n + 1]
-
-        live = np.flatnonzero(bounds(self.most[known]) >= THRESHOLD)
-        if not len(live):
-            return []
-        ok = np.zeros(n, bool)
-        near = np.isin(half, np.concatenate([live, live + 1]))
-        half, own, lead, known = half[near], own[near], lead[near], known[near]
-        for block in range(self.block_most.shape[1]):
-            ok |= bounds(self.block_most[known, block]) >= THRESHOLD
-        return [(int(p) * self.stride, (int(p) + 2) * self.stride) for p in live if ok[p]]
+        n = int(half[-1]) + 1
+        for begun in range(0, n, HALVES):
+            a, b = np.searchsorted(half, (begun, begun + HALVES + 1))
+            rows, h = self.block_most[known[a:b]], half[a:b] - begun
+            bound = _sums(rows, h, own[a:b])[:-1] + _sums(rows, h, lead[a:b])[1:]
+            passage, block = np.nonzero(bound >= THRESHOLD - SLACK)
+            for p in np.unique(passage):
+                first = (begun + int(p)) * self.stride
+                yield first, first + 2 * self.stride, block[passage == p].tolist()
 
     def find(self, ids: np.ndarray) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of verified items, best passage of each."""
         best: dict[int, tuple[float, float, float]] = {}
-        for a, b in self.passages(ids):
+        for a, b, blocks in self.passages(ids):
             part = ids[a:b].tolist()
             own: dict[int, set] = {}
-            for item, score in self.wand(sorted({t for t in part if t >= 0})):
+            for item, score in self.wand(sorted({t for t in part if t >= 0}), blocks):
                 overlaps = []
                 for wanted, n in self.grams[item]:
                     if n not in own:
