@@ -29,5 +29,5 @@ def estimated_fanout_column(tuples, lefts, rights):
 
 def min_max_normalised(df: DataFrame, column: str) -> DataFrame:
     """*column* mapped to 0..1; null where all values are equal."""
-    ends = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    return df.join(F.broadcast(ends)).withColumn(column, (F.col(column) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))).drop("_low", "_high")
+    low, high = (df.agg(end(column)).scalar() for end in (F.min, F.max))
+    return df.withColumn(column, (F.col(column) - low) / F.nullif(high - low, F.lit(0)))

@@ -227,7 +227,7 @@ def worked_rewriting(spark, sf_dir):
     engine.materialize(spec)
     parts = relation(table(spark, sf_dir, "lineitem").where("l_orderkey <= 100"), "l_orderkey", "l_partkey")
     asked = parts.alias("a").join(parts.alias("b"), "l").where("a.r < b.r").select(F.col("a.r").alias("k1"), F.col("b.r").alias("k2")).distinct()
-    asked = asked.crossJoin(spark.createDataFrame([("HOUSEHOLD",), ("BUILDING",)], "c string"))
+    asked = asked.select("k1", "k2", F.explode(F.array(F.lit("HOUSEHOLD"), F.lit("BUILDING"))).alias("c"))
     return engine.run(find_covers(spec, query), asked)
 
 
