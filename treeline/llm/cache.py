@@ -13,15 +13,15 @@ CACHE_CHARS = 64
 class Cache(dict):
     """Values of a function by word in two generations: the older goes when the newer is full."""
 
-    def __init__(self, make: Callable[[str], Any]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[Any], Any], most: int | None = None):
+        self.make, self.most, self.older = make, most or CACHE_WORDS, {}
 
-    def __missing__(self, word: str) -> Any:
+    def __missing__(self, word: Any) -> Any:
         value = self.older.get(word)
         if value is None:
             value = self.make(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = value

@@ -44,7 +44,7 @@ LAST = (1 << 63) - 1
 SALT = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-_hash = Cache(lambda w: xxhash.xxh64_intdigest(w, 7)).__getitem__
+_hash = Cache(lambda w: xxhash.xxh64_intdigest(w, 7), 100_000).__getitem__
 
 
 def split(text: str | None) -> list[bytes]:
@@ -229,17 +229,42 @@ def _later_runs(bits: int):
     return run
 
 
+def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of windows (start, n) with those that meet or overlap put together."""
+    begin = end = -1
+    for start, n in sorted(spans):
+        if start > end:
+            if end > begin:
+                yield begin, end - begin
+            begin = start
+        end = max(end, start + n)
+    if end > begin:
+        yield begin, end - begin
+
+
 def _passages(bits: int):
+    def batch_of(out: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        buckets, places, texts = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], ["bucket", "kind", "id", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for source, text, wants in zip(*(c.to_pylist() for c in batch.columns)):
-                words = split(text)
+            # Row by row: what is asked of a hot source is long.
+            for k in range(batch.num_rows):
+                source, text, wants = (c[k].as_py() for c in batch.columns)
+                words, asked = split(text), {}
                 for w in wants:
-                    for part, v in zip(out, (w["bucket"], (source << bits) + w["start"], b" ".join(words[w["start"] : w["start"] + w["n"] + WINDOW - 1]).decode("utf-8", "surrogatepass"))):
-                        part.append(v)
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([0] * n, pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["bucket", "kind", "id", "text"])
+                    asked.setdefault(w["bucket"], []).append((w["start"], w["n"]))
+                for bucket, spans in asked.items():
+                    for start, n in _merged(spans):
+                        out.append((bucket, (source << bits) + start, b" ".join(words[start : start + n + WINDOW - 1]).decode("utf-8", "surrogatepass")))
+                        size += len(out[-1][2])
+                        if size > 1 << 21:
+                            yield batch_of(out)
+                            out, size = [], 0
+        if out:
+            yield batch_of(out)
 
     return run
 
