@@ -35,6 +35,12 @@ def test_every_prefix(own, text):
         assert table[i] == len(own.library.encode(text[:i]))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(TEXT, TEXT.map(lambda t: " ".join(t.split(" ")) if t else t), st.lists(st.sampled_from(["there", "\nthan", "日本", "x😀y", "ations"]), max_size=8).map(" ".join)), st.integers(0, 30))
+def test_longest_fitting_prefix(own, text, budget):
+    assert own.fitting(text, budget) == max(i for i, n in enumerate(own.prefixes(text)) if n <= budget)
+
+
 def test_awkward_rows(spark, own):
     rows = [(1, None), (2, ""), (3, "  <s> </s> <unk>\n\n  x "), (4, "ab" * 40000), (5, "a b " * 5000), (5, "a b " * 5000), (None, "x")]
     docs = spark.createDataFrame([(a, b, 3) for a, b in rows], "doc_id long, text string, n_tokens int")

@@ -13,8 +13,11 @@ and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -25,7 +28,10 @@ from treeline.llm.cache import Cache
 from treeline.llm.common import id_text, prepare
 
 BLANK = "▁"
+CACHE_WORDS = 900_000
 CACHE_PAIRS = 1_000_000
+CACHE_STARTS = 60_000
+START = 6
 
 _counters: dict[str, "PrefixCounter"] = {}
 
@@ -37,6 +43,7 @@ class PrefixCounter:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.encode = functools.partial(sp.encode, out_type=int)
         ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.pieces = {sp.id_to_piece(i): i for i in ids}
         if any("\n" in p or BLANK in p.lstrip(BLANK) for p in self.pieces):
@@ -47,40 +54,51 @@ class PrefixCounter:
             self.ending.add_word(piece, (i, len(piece)))
         self.ending.make_automaton()
         self.width = sp.vocab_size() + 1
+        self.spelled = [sp.id_to_piece(i).replace(BLANK, " ") for i in range(sp.vocab_size())]
+        # Tables of the first characters of runs, which many runs have in common.
+        self.starts = Cache(self._grow, CACHE_STARTS)
         self.pairs: dict[int, bool] = {}
-        self.totals = Cache(self._key_total)
+        self.totals = Cache(self._key_total, CACHE_WORDS)
 
     def _follows(self, last: int, piece: int) -> bool:
         """Whether *piece* after *last* (-1: a barrier) comes out as just these two."""
         if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
-        own = [piece] if last < 0 else [last, piece]
-        text = "\n" + "".join(map(self.library.id_to_piece, own)).replace(BLANK, " ")
         # Before the text come the library's blank and the line feed's byte.
-        found = self.pairs[last * self.width + piece] = self.library.encode(text)[2:] == own
+        if last < 0:
+            found = self.encode("\n" + self.spelled[piece])[2:] == [piece]
+        else:
+            found = self.encode("\n" + self.spelled[last] + self.spelled[piece])[2:] == [last, piece]
+        self.pairs[last * self.width + piece] = found
         return found
 
     def run_counts(self, run: str) -> list[int]:
         """Tokens of run[:j] for each j; *run* has blanks as ``BLANK``."""
-        counts, lasts, get, width, done = [0], [-1], self.pairs.get, self.width, 0
+        if len(run) <= START:
+            return self.starts[run][0]
+        return self._grow(run, *self.starts[run[:START]])[0]
+
+    def _grow(self, run: str, counts: list[int] = [0], lasts: list[int] = [-1]) -> tuple[list[int], list[int]]:
+        """Counts and last pieces of all prefixes of *run*, from those of its first prefixes."""
+        counts, lasts, get, width, done = counts[:], lasts[:], self.pairs.get, self.width, len(counts) - 1
         for end, (piece, size) in self.ending.iter(run):
             if end < done:
-                continue  # a longer piece has been found to end here
+                continue  # known, or a longer piece has been found to end here
             while done < end:
                 self._bytes_of(run[done], counts, lasts)
                 done += 1
-            last = lasts[end + 1 - size]
-            ok = get(last * width + piece)
+            at = end + 1 - size
+            ok = get(lasts[at] * width + piece)
             if ok is None:
-                ok = self._follows(last, piece)
+                ok = self._follows(lasts[at], piece)
             if ok:
-                counts.append(counts[end + 1 - size] + 1)
+                counts.append(counts[at] + 1)
                 lasts.append(piece)
-                done = end + 1
+                done += 1
         while done < len(run):
             self._bytes_of(run[done], counts, lasts)
             done += 1
-        return counts
+        return counts, lasts
 
     @staticmethod
     def _bytes_of(char: str, counts: list[int], lasts: list[int]) -> None:
@@ -133,7 +151,18 @@ class PrefixCounter:
 
     def fitting(self, text: str, budget: int) -> int:
         """The longest prefix, in characters, of *budget* tokens or fewer."""
-        return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        own = self._keys(text)
+        if "" in own:
+            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        # Only the run in which the running total passes the budget needs its table.
+        sums = list(accumulate(map(self.totals.__getitem__, own)))
+        k = bisect_right(sums, budget)
+        if k == len(own):
+            return len(text)
+        key, base = own[k], sums[k - 1] if k else 0
+        at = sum(len(x) + (x[0] != "\n") for x in own[:k])
+        counts = [0, *(1 + n for n in self.run_counts(key[1:]))] if key[0] == "\n" else self.run_counts(BLANK + key)
+        return max(0, at - 1 + max(j for j, n in enumerate(counts) if base + n <= budget))
 
 
 def counter(path: str) -> PrefixCounter:
