@@ -42,9 +42,10 @@ SHARD_WORDS = 40_000
 LAST = (1 << 63) - 1
 #: Lists of what is asked of one document are split so many ways.
 SALT = 64
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: By a run's length: what its predecessor's hash is multiplied by.
+SHIFTS = {1 << k: np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(12)}
 
-_hash = Cache(lambda w: xxhash.xxh64_intdigest(w, 7), 100_000).__getitem__
+_hash = Cache(lambda w: xxhash.xxh64_intdigest(w, 7), 300_000).__getitem__
 
 
 def split(text: str | None) -> list[bytes]:
@@ -53,12 +54,22 @@ def split(text: str | None) -> list[bytes]:
 
 
 def rolled(words: list[bytes], n: int) -> np.ndarray:
-    """Hashes of all runs of *n* words."""
-    h = np.fromiter(map(_hash, words), np.uint64, len(words))
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for j in range(n):
-        out = out * MULTIPLIER + h[j : len(h) - n + 1 + j]
-    out ^= out >> np.uint64(29)
+    """Hashes of all runs of *n* words, by doubling: a run's hash follows from those of its parts."""
+    power = np.fromiter(map(_hash, words), np.uint64, len(words))  # of runs of 1, 2, 4, ... words
+    size, done, out = 1, 0, None
+    while size <= n:
+        if n & size:
+            if out is None:
+                out = power
+            else:
+                count = len(words) - done - size + 1
+                out = out[: max(0, count)] * SHIFTS[size] + power[done : done + max(0, count)]
+            done += size
+        if 2 * size <= n:
+            power = power[:-size] * SHIFTS[size] + power[size:]
+        size *= 2
+    out = out[: max(0, len(words) - n + 1)]
+    out = out ^ (out >> np.uint64(29))
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -201,12 +212,15 @@ def _windows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, places = [], []
-            for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            lists = batch.column(2).offsets.to_numpy()
+            runs = batch.column(2).values
+            starts, sizes = (runs.field(k).to_numpy() for k in ("start", "n"))
+            for doc, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists, lists[1:]):
                 own = rolled(split(text), WINDOW).view(np.int64)
-                wanted = np.zeros(len(own), bool)
-                for r in runs:
-                    wanted[r["start"] : r["start"] + r["n"]] = True
-                at = np.flatnonzero(wanted)
+                change = np.zeros(len(own) + 1, np.int32)
+                np.add.at(change, starts[a:b], 1)
+                np.add.at(change, starts[a:b] + sizes[a:b], -1)
+                at = np.flatnonzero(np.cumsum(change[:-1]))
                 hashes.append(own[at])
                 places.append((doc << bits) + at)
             if hashes:
@@ -316,10 +330,12 @@ def repeated_words(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     windows = stage(spark, texts.select("doc", "text", "runs").mapInArrow(_windows(bits), "hash long, place long"), "windows")
     firsts = windows.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("hash", "first")
+    # As a table, so that the join's skewed side can be split.
+    firsts = stage(spark, firsts, "first-windows")
     later = windows.join(firsts, "hash").where("place <> first").select("place", "first", F.shiftright("place", bits).alias("doc"))
     later = later.repartition("doc").sortWithinPartitions("place").select("place", "first").mapInArrow(_later_runs(bits), "doc long, source long, start long, n long")
     later = stage(spark, later, "later-runs")
-    drop(spark, windows)
+    drop(spark, windows, firsts)
 
     total = later.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
     buckets = max(1, -(-int(total) // SHARD_WORDS))
