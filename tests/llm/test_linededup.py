@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 
+import corpus_pipeline
 from treeline.llm import linededup
 from treeline.llm.linededup import chunks, dedup_lines, is_candidate
 from treeline.llm.queries import op9_line_dedup
@@ -55,3 +56,17 @@ def test_boundaries_resist_shifts():
     assert len(cut(lines) - cut(["put in front", *lines])) <= 1
     assert len(cut(lines) - cut([*lines[:90], "in the middle", *lines[90:]])) <= 3
     assert hashlib.md5(b"a").hexdigest()[:8] == f"{linededup.line_hash('a'):08x}"
+
+
+def test_pipeline_stage_removes_short_repeats_and_runs(spark):
+    short = [("a", "b"), ("c d", "e f"), ("one", "two", "three"), ("p", "q"), ("r", "s"), ("t", "u"), ("v", "w"), ("x", "y")]
+    rows = [(2 * k + side, "\n".join(x)) for k, x in enumerate(short) for side in (0, 1)]
+    rows += [(100, "\n".join(["same line"] * 400 + ["end"])), (101, "\n".join(["lone", *[f"l{i}" for i in range(90)]]))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == brute(rows)
+    assert [got[2 * k + 1] for k in range(len(short))].count("") >= len(short) - 1
+    assert got[100].count("same line") <= 2 * linededup.MOST and got[101] == rows[-1][1]
+    for _, text in rows:
+        lines = text.split("\n")
+        assert all(2 <= b - a <= linededup.MOST for a, b in chunks(lines)[:-1])

@@ -2,7 +2,9 @@
 
 A text's lines are hashed; a rolling hash over ``WINDOW`` line hashes ends a chunk after every line at
 which it is zero modulo ``DIVISOR``.  Boundaries thus depend on nearby lines alone and come back in step after
-lines are put in or taken out.  A chunk of two lines or more (at least two of them not blank) that an
+lines are put in or taken out.  A boundary is held back until the chunk has two lines that are not blank; a chunk
+also ends at ``MOST`` lines and after a run of equal lines (:func:`chunks`).  The chunks of ``ORACLE`` have none of the three
+(:func:`free_chunks`).  A chunk of two lines or more (at least two of them not blank) that an
 earlier document, or an earlier place of the same one, also holds is removed, once its bytes have been
 compared with those of the first.  What a chunk's lines are cut from each other by stays with what is kept:
 kept lines are joined by line feeds.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -28,8 +30,10 @@ from treeline.llm.common import drop, fresh, prepare, stage, text_key
 WINDOW = 2
 DIVISOR = 3
 MULTIPLIER = 31
+MOST = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 LAST = (1 << 63) - 1
+Chunker = Callable[[list[str]], list[tuple[int, int]]]
 
 
 def line_hash(line: str) -> int:
@@ -37,7 +41,24 @@ def line_hash(line: str) -> int:
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk."""
+    """(first line, line after the last) of each chunk; all but the last have two lines that are not blank."""
+    out, begun, worded, before = [], 0, 0, 0
+    for i, line in enumerate(lines):
+        h = line_hash(line)
+        worded += bool(WORD.search(line))
+        if worded > 1:
+            run_ends = lines[i - 1] == line and lines[i + 1 : i + 2] != [line]
+            if (before * MULTIPLIER + h) % DIVISOR == 0 or run_ends or i + 1 - begun >= MOST:
+                out.append((begun, i + 1))
+                begun, worded = i + 1, 0
+        before = h
+    if begun < len(lines):
+        out.append((begun, len(lines)))
+    return out
+
+
+def free_chunks(lines: list[str]) -> list[tuple[int, int]]:
+    """Chunks of any length, as ``ORACLE`` makes them."""
     out, begun, window = [], 0, [0] * WINDOW
     for i, line in enumerate(lines):
         window = [*window[1:], line_hash(line)]
@@ -56,14 +77,14 @@ def is_candidate(lines: list[str]) -> bool:
     return len(lines) > 1 and sum(bool(WORD.search(x)) for x in lines) > 1
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], chunker: Chunker) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for rank, key, text in zip(*(c.to_pylist() for c in batch.columns)):
             if text is None:
                 continue
             lines = text.split("\n")
-            for n, (a, b) in enumerate(chunks(lines)):
+            for n, (a, b) in enumerate(chunker(lines)):
                 if is_candidate(lines[a:b]):
                     body = "\n".join(lines[a:b])
                     for column, v in zip(out, (xxhash.xxh3_128_digest(body.encode("utf-8", "replace")), rank, key, n, body)):
@@ -71,10 +92,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["hash", "rank", "key", "n", "body"])
 
 
-def repeated_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def repeated_chunks(spark: SparkSession, docs: DataFrame, chunker: Chunker = chunks) -> DataFrame:
     """``rank`` (doc_id, null last), ``key`` (of the text) and ``cuts``: the numbers of the chunks to remove."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    found = stage(spark, rows.mapInArrow(_candidates, "hash binary, rank long, key long, n int, body string"), "line-chunks")
+    found = stage(spark, rows.mapInArrow(lambda batches: _candidates(batches, chunker), "hash binary, rank long, key long, n int, body string"), "line-chunks")
     place = F.struct("rank", "key", "n")
     firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
     repeats = stage(spark, found.join(firsts, "hash").withColumn("is_first", place == F.col("first")).drop("first"), "line-repeats")
@@ -84,11 +105,11 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return same.groupBy("rank", "key").agg(F.collect_set("n").alias("cuts"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, chunker: Chunker = chunks) -> DataFrame:
     """*docs* with repeated chunks removed from text, and n_lines and n_removed at the end
     (underscores go before these names where *docs* has them)."""
     prepare(spark)
-    cuts = stage(spark, repeated_chunks(spark, docs), "line-cuts")
+    cuts = stage(spark, repeated_chunks(spark, docs, chunker), "line-cuts")
     rank, key, col = (fresh(docs, x) for x in ("_rank", "_key", "_cuts"))
     keyed = docs.withColumns({rank: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), key: text_key()})
     joined = keyed.join(cuts.toDF(rank, key, col), [rank, key], "left").select(*docs.columns, col)
@@ -102,7 +123,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 totals.append(len(lines))
                 if own:
                     own = set(own)
-                    kept = [x for n, (a, b) in enumerate(chunks(lines)) if n not in own for x in lines[a:b]]
+                    kept = [x for n, (a, b) in enumerate(chunker(lines)) if n not in own for x in lines[a:b]]
                     text = "\n".join(kept)
                     gone.append(len(lines) - len(kept))
                 else:

@@ -55,7 +55,7 @@ def op8_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(spark, docs).select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+    return linededup.dedup_lines(spark, docs, linededup.free_chunks).select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
