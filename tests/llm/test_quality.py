@@ -1,7 +1,11 @@
+import base64
 import random
 import re
 
-from treeline.llm.quality import MAX_REPEAT_PERCENT, quality, repeated_words
+import pytest
+import zstandard
+
+from treeline.llm.quality import LEVEL, MAX_REPEAT_PERCENT, compression_verdict, quality, repeated_words
 from treeline.llm.queries import op7_quality_bands
 
 
@@ -47,3 +51,27 @@ def test_bands_reject_repetition_and_noise(spark):
     assert got[4].ratio is None and quality(spark, docs).count() == len(rows)
     assert quality(spark, docs.limit(0)).count() == 0
     assert MAX_REPEAT_PERCENT == 20 and repeated_words(list("abcdeabcde")) == 10 and repeated_words(list("aaaaaa")) == 6
+
+
+def junk(kind, size):
+    rng = random.Random(size)
+    if kind == "template":
+        return " ".join(f"Item {rng.randrange(1000)} of the list is sold in our shop at the price of {rng.randrange(100)} coins." for _ in range(size // 60 + 1))[:size].encode()
+    raw = rng.randbytes(size)
+    text = {"base64": base64.b64encode(raw).decode(), "hex": raw.hex(), "letters": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))}[kind]
+    return " ".join(text[i : i + 16] for i in range(0, size, 16))[:size].encode()
+
+
+@pytest.mark.parametrize(
+    "kind, sizes",
+    [("base64", (200, 300, 400, 600, 900, 1400, 2000, 4000, 8000, 30000)), ("letters", (1400, 2000, 4000, 8000, 30000)), ("hex", (5000, 8000, 30000)), ("template", (400, 600, 900, 2000, 4000, 8000, 30000))],
+)
+def test_junk_of_many_sizes_leaves_its_band(kind, sizes):
+    compress = zstandard.ZstdCompressor(level=LEVEL).compress
+    kept = [n for n in sizes if compression_verdict(junk(kind, n), compress)[2]]
+    assert not kept
+
+
+def test_base64_chunks_are_bad():
+    compress = zstandard.ZstdCompressor(level=LEVEL).compress
+    assert compression_verdict(junk("base64", 22000), compress)[1] == 1.0
