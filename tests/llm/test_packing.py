@@ -84,3 +84,22 @@ def test_brute_force_service_order():
 def test_a_queue_needs_weight():
     with pytest.raises(ValueError):
         packing.Schedule([3, 2], [1, 0])
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_each_of_many_sources_is_a_queue(spark, weighted):
+    sources = [f"src{k}" for k in range(70)]
+    rows = [(100 * j + k, "word " * (20 + k % 7), s) for j in range(4) for k, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    weights = {s: 1 + k % 3 for k, s in enumerate(sources)} if weighted else None
+    pieces = packing.pack(spark, docs, vocabulary(WORD_VOCABULARY), 1, weights, length=64, window=8, digest=True).collect()
+    check_layout(pieces, 64)
+    check_pieces(pieces, [r[:2] for r in rows])
+    total, by_window = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        total[p.doc_id % 100] += p.length
+        by_window[p.sequence_id // 8][p.doc_id % 100] += p.length
+    share = {k: weights[f"src{k}"] if weighted else total[k] for k in total}
+    for k in total:  # the first windows, before a queue runs dry
+        got = sum(by_window[w][k] for w in range(3))
+        assert abs(got - 3 * 8 * 64 * share[k] / sum(share.values())) <= 2

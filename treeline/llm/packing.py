@@ -11,8 +11,8 @@ A queue that runs dry leaves its share to the others in proportion to their weig
 Sequences hold ``LENGTH`` ids.  The ids left at the very end go into sequences whose lengths are
 powers of two, so nothing is padded.
 
-Cases: a null text is empty and holds only the end id; a null source is a queue of its own; with
-more than ``MAX_QUEUES`` sources, sources share queues by a hash; an empty table gives no pieces;
+Cases: a null text is empty and holds only the end id; a null source is a queue of its own, and so is
+every other source, however many there are; an empty table gives no pieces;
 repeated rows are all packed; columns other than doc_id, text and source are ignored.
 """
 
@@ -33,7 +33,8 @@ from treeline.llm.tokens import encoder, id_batches
 
 LENGTH = 2048
 WINDOW = 16
-MAX_QUEUES = 64
+#: Windows whose state a task remembers hold so many numbers in all, and are so many at most.
+MEMO_NUMBERS, MEMO_WINDOWS = 1_300_000, 20_000
 #: Offsets are broadcast up to so many rows of (task, queue); beyond, they are joined.
 BROADCAST_ROWS = 200_000
 
@@ -78,7 +79,7 @@ class Schedule:
     def at(self, k: int) -> list[int]:
         """Ids taken from each queue before window *k*."""
         if k not in self._memo:
-            if len(self._memo) > 20_000:
+            if len(self._memo) > min(MEMO_WINDOWS, MEMO_NUMBERS // len(self.totals)):
                 self._memo.clear()
             self._memo[k] = self.taken(k * self.window)
         return self._memo[k]
@@ -128,11 +129,8 @@ class Schedule:
             x, n = x + m, n - m
 
 
-def _queue_column(docs: DataFrame):
-    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))
-    if docs.select(source.alias("q")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        return F.concat(F.lit("h"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
-    return source
+def _queue_column():
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))
 
 
 def _encode(path: str, end_id: int):
@@ -156,12 +154,12 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, weig
     ids_crc32, doc_tokens, sequence_id, offset.  *weights* are target proportions by source; by default
     the sources' own shares of all ids, with which all queues end together."""
     prepare(spark)
-    queue = _queue_column(docs)
+    queue = _queue_column()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), queue.alias("queue"))
     rows = stage(spark, rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, queue string, part int, before long, n long, ids binary"), "pack-ids")
     sums = rows.groupBy("part", "queue").agg(F.sum("n").alias("sum"))
     bases = stage(spark, sums.select("part", "queue", "sum", (F.sum("sum").over(Window.partitionBy("queue").orderBy("part")) - F.col("sum")).alias("base")), "pack-bases")
-    totals = {r[0]: r[1] for r in bases.groupBy("queue").agg(F.sum("sum")).collect()}  # MAX_QUEUES + 1 rows at most
+    totals = {r[0]: r[1] for r in bases.groupBy("queue").agg(F.sum("sum")).collect()}  # a row a source
     names = sorted(totals)
     own = {"-" if k is None else f"s{k}": v for k, v in (weights or {}).items()}
     shares = [own[q] for q in names] if weights else None
