@@ -62,3 +62,19 @@ def test_lengths_are_optimal_without_a_tight_limit():
         cost += both
         heapq.heappush(heap, both)
     assert int((huffman.code_lengths(counts, 20) * counts).sum()) == cost
+
+
+def test_repeated_rows_and_many_files(spark, tmp_path):
+    rows = [(1, "same text")] * 400 + [(1, "other")] * 3 + [(None, "none"), (2, "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    huffman.write_ids(spark, docs, str(tmp_path / "set"), vocabulary(WORD_VOCABULARY), 2)
+    got = sorted(huffman.read_ids(spark, str(tmp_path / "set"), digest=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] + [1] * 403 + [2]
+    want = {(d, n, c) for d, _, n, c in expected(rows)}
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in got} == want
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    codes = {r.id: r.n for r in spark.read.parquet(str(tmp_path / "set/codes")).collect()}
+    assert sum(codes.values()) == at

@@ -3,38 +3,53 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.sources import storage
+
 #: Bounds on one Arrow batch, so that a worker's memory doesn't depend on text lengths.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
 
 
+#: Settings the operators need: bounded Arrow batches, shuffle files freed when the query that made them ends.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+#: What the session had of them before.
+_before: dict[str, str | None] = {}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and free shuffle files when the query that made them ends."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    """Set ``SETTINGS``.  Results are computed when their caller reads them, so they stay until :func:`release`."""
+    for k, v in SETTINGS.items():
+        if k not in _before:
+            _before[k] = spark.conf.get(k, None)
+        spark.conf.set(k, v)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        found = tempfile.mkdtemp(prefix="treeline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def release(spark: SparkSession) -> None:
+    """Once results have been written elsewhere: give the session its settings back and delete all staged tables."""
+    for k, v in _before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+    _before.clear()
+    storage.release(spark)
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write *df* to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Write *df* to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What isn't dropped is deleted by :func:`release` or at the end of the process."""
+    path = storage.scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -43,10 +58,7 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what :func:`stage` wrote for *frames*."""
-    for df in frames:
-        if path := getattr(df, "_staged_path", None):
-            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+    storage.delete(spark, *(df._staged_path for df in frames if hasattr(df, "_staged_path")))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -134,11 +134,20 @@ def _encode(path: str, end_id: int):
                 counts += np.bincount(np.frombuffer(b"".join(ids[at : at + 256]), dtype), minlength=len(counts))
             doc_id = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
+        used = np.flatnonzero(counts)
+        own = np.stack([used, counts[used]], axis=1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([own], pa.binary())], ["doc_id", "ids", "counts"])
 
     return run
 
 
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for own in batch.column(0).to_pylist():
+            pairs = np.frombuffer(own, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "n"])
+
+
 def _block_writer(lengths_of, dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,20 +189,20 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, e
     """Encode *docs* (doc_id, text) and write a file set to *path*."""
     prepare(spark)
     encoded = stage(spark, id_text(docs).mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary, counts binary"), "ids")
-    counts = None
-    # One row per task, added up as they come: the driver holds one vocabulary-long vector.
-    for row in encoded.where("counts is not null").select("counts").toLocalIterator():
-        part = np.frombuffer(row[0], np.int64)
-        counts = part.copy() if counts is None else counts + part
-    if counts is None:
-        counts = np.zeros(1, np.int64)
+    # A row for each id in use: what comes to the driver is bounded by the vocabulary.
+    totals = encoded.where("counts is not null").select("counts").mapInArrow(_count_rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max((r.id for r in totals), default=0) + 1, np.int64)
+    for r in totals:
+        counts[r.id] = r.n
     lengths = code_lengths(counts, max_length)
     used = np.flatnonzero(lengths)
     codes = [(int(i), int(counts[i]), int(lengths[i])) for i in used]
     spark.createDataFrame(codes, "id long, n long, length int").coalesce(1).write.parquet(f"{path}/codes")
     shared = spark.sparkContext.broadcast(lengths)
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = encoded.where("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    # The last column splits rows that are equal in both others.
+    keyed = encoded.where("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(ranges, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "ids")
     ordered.mapInArrow(_block_writer(shared, encoder(tokenizer).dtype), BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks")
     drop(spark, encoded)
 

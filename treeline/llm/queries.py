@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import decontam, huffman, langid, linededup, packing, prefixcount, quality, secretscan, simhash, substring
-from treeline.llm.common import read, shared_dir, vocabulary
+from treeline.llm.common import read, vocabulary
+from treeline.sources.storage import scratch_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -20,7 +20,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "token-ids")
     huffman.write_ids(spark, read(spark, sf_dir, "documents"), path, vocabulary(WORD_VOCABULARY), end_id=2)
     return huffman.read_ids(spark, path, digest=True)
 
