@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,3 +64,39 @@ def test_other_rules_add_spans(spark):
     docs = spark.createDataFrame([(1, "ghp_abcdefghijklmnop1234 and https://me:pw@host.org")], "doc_id long, text string")
     assert scan(spark, docs).first().spans == "prefixed:0:24,url_login:29:51"
     assert secretscan.Rule("x", "a+").spans(re.compile("a+"), "aa b a") == [(0, 2), (5, 6)]
+
+
+#: The further kinds as plain patterns, tried at every place.
+PLAIN = {
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "web_token": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "prefixed": r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_|rk_live_|glpat-)[A-Za-z0-9_-]{16,}",
+    "url_login": r"[a-z]+://[^\s/:@]+:[^\s/:@]+@[A-Za-z0-9.-]+",
+}
+PARTS = st.sampled_from(["eyJ", "abcdefgh", "ABCDEFGHIJKLMNOPQR", "0123456789abcdef01234567", ".", "_", "-", "ghp_", "glpat-", "http", "://", ":", "@", "/", " ", "\n", "host.org", "é", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "password", "=", "AKIA"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=16).map("".join), max_size=4))
+def test_spans_of_all_kinds_against_brute_force(texts):
+    own = Scanner()
+    names = [r.kind for r in own.rules]
+    for text, got in zip(texts, own.scan(texts)):
+        kinds = ("assign", "access", "hex")
+        want = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        for kind, pattern in PLAIN.items():
+            want += [(m.start(), names.index(kind), m.end()) for m in re.finditer(pattern, text, re.ASCII)]
+        assert names[:3] == list(kinds) and got == sorted(want)
+
+
+def test_long_texts_take_time_in_proportion():
+    n = 1_000_000
+    texts = [x * (n // len(x)) for x in ("a", "eyJ", "eyJabcdefgh.", "-----BEGIN ", "A", "PRIVATE KEY", "password ", "password=", "a:", "a://", "AKIA", "0", "ghp_", "x@y:z")]
+    texts += ["a://" + "b" * n, "http://" + "a:b" * (n // 3), "-----BEGIN " + "A " * (n // 2), "password" + " " * n, "eyJ" + "a" * n, "a" * n + "://b:c@d"]
+    own = Scanner()
+    for text in texts:
+        began = time.perf_counter()
+        own.scan([text + " eyJ :// ghp_ AKIA secret -----BEGIN PRIVATE KEY"])
+        assert time.perf_counter() - began < 3

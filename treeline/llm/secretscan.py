@@ -7,7 +7,7 @@ for, the segment's documents that hold it.  A rule's query is answered by joinin
 postings, and only documents that pass are searched.  A rule with no mandatory trigram (such as
 a run of hex digits) is searched in every document.  A segment is read once and needs no shuffle.
 
-Cases: a null text is empty; texts are scanned whole; spans are code points, end exclusive;
+Cases: a null text is empty; texts are scanned whole, in time that grows with their length; spans are code points, end exclusive;
 overlapping finds of different kinds all stay; repeated rows all stay; an empty table gives no
 rows; columns other than doc_id and text are ignored.
 """
@@ -54,12 +54,13 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
-#: Further kinds, by the public shapes of such credentials.
+#: Further kinds, by the public shapes of such credentials.  A match can only begin where a run of its characters
+#: does, and runs are never given back, so each takes time in proportion to the text.
 MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("prefixed", r"(?:ghp_|gho_|xoxb-|xoxp-|sk_live_|rk_live_|glpat-)[A-Za-z0-9_-]{16,}"),
-    Rule("url_login", r"[a-z]+://[^\s/:@]+:[^\s/:@]+@[A-Za-z0-9.-]+"),
+    Rule("url_login", r"(?<![a-z])[a-z]++://[^\s/:@]++:[^\s/:@]++@[A-Za-z0-9.-]+"),
 )
 
 Query = tuple | None  # ("tri", code) | ("and", q, ...) | ("or", q, ...) | None
@@ -107,7 +108,9 @@ def _strings(items, fold: bool) -> tuple[set[str] | None, Query]:
             else:
                 whole = [_both(q, _of_strings(s) if s else None) for s, q in sides]
                 extra = None if None in whole else ("or", *whole)
-        elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
+        elif op in (K.ASSERT, K.ASSERT_NOT, K.AT):
+            own = {""}  # takes no characters
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
             low, high, body = arg
             inner, needed = _strings(body, fold)
             if (low, high) == (0, 1) and inner is not None and needed is None:
