@@ -1,12 +1,13 @@
 """Language ID by nearest centroid over TF-IDF vectors of hashed byte trigrams.
 
 ``fit`` learns from a bounded sample: about ``SAMPLE`` labelled rows in all, dealt evenly over the
-languages and chosen by a hash.  Each language gets up to ``CLUSTERS`` centroids by spherical
-k-means.  A text takes the language of the centroid with the largest cosine.  The text is rejected if its
+languages and chosen by a hash, but ``LEAST`` of each language.  Every language has its place in the model, however many
+there are.  Each gets up to ``CLUSTERS`` centroids by spherical k-means, one for every ``LEAST // 2`` rows at most, so the model that
+is broadcast has at most as many vectors of ``FEATURES`` floats.  A text takes the language of the centroid with the largest cosine.  The text is rejected if its
 distance to it is beyond what training texts show: cosine under ``SLACK`` times the language's
 first percentile, scaled down for texts with few trigrams.
 
-Cases: a null text or one without a letter is ``und`` and rejected; texts are read whole; ties
+Cases: a null text or one without a letter (a character of Unicode's letter categories; number signs are none) is ``und`` and rejected; texts are read whole; ties
 go to the first centroid in order of language; repeated rows are predicted alike; an empty
 training table yields a model that says ``und`` to everything; columns besides doc_id, text and
 lang are ignored by ``predict`` and kept by ``keep``.
@@ -14,7 +15,6 @@ lang are ignored by ``predict`` and kept by ``keep``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,18 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import id_text, prepare
+from treeline.llm.common import drop, id_text, prepare, stage
 
 FEATURES = 8192
 SAMPLE = 1600
+LEAST = 16
 CLUSTERS = 4
 SLACK = 0.4
 SHORT = 60
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are not letters become blanks; UTF-8 lead and continuation bytes stay.
 FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def trigram_counts(texts: list[str]) -> np.ndarray:
     """Counts of hashed trigrams over lower-cased UTF-8, (texts, FEATURES)."""
     raws = [b"  " + t.lower().encode("utf-8", "replace") + b"  " for t in texts]
@@ -64,7 +68,7 @@ class Model:
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
         if not self.languages:
             return out
-        live = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        live = [i for i, t in enumerate(texts) if has_letter(t)]
         for at in range(0, len(live), 128):
             part = live[at : at + 128]
             counts = trigram_counts([texts[i] for i in part])
@@ -73,7 +77,8 @@ class Model:
             sizes = counts.sum(axis=1)
             for i, b, c, n in zip(part, best, cosines[np.arange(len(part)), best], sizes):
                 lang = self.owner[b]
-                score = min(1.0, max(0.0, float(c)))
+                # Rounded, as the last bits depend on which texts share a batch.
+                score = round(min(1.0, max(0.0, float(c))), 5)
                 out[i] = (self.languages[lang], score, score < self.floors[lang] * float(np.sqrt(n / (n + SHORT))))
         return out
 
@@ -92,17 +97,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
-    """Learn from the text and non-null lang of *docs*."""
+    """Learn from the text and non-null lang of *docs*: about *sample* rows, ``LEAST`` a language at least."""
     prepare(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id")).where("text is not null and lang is not null")
-    sizes = dict(map(tuple, rows.groupBy("lang").count().orderBy("lang").limit(sample).collect()))
-    empty = Model([], np.zeros(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    if not sizes:
-        return empty
-    share = max(8, sample // len(sizes))
-    deal = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])
+    sizes = stage(spark, rows.groupBy("lang").count(), "languages")
+    share = F.lit(max(LEAST, sample // max(1, sizes.count()))) / F.col("count")
     roll = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.where(roll < deal[F.col("lang")])
+    chosen = rows.join(sizes, "lang").where(roll < share)
+    empty = Model([], np.zeros(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,27 +114,30 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, clusters: in
                 packed = [(np.flatnonzero(c).astype("<u2").tobytes(), c[c > 0].astype("<u4").tobytes()) for c in counts]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["lang", "at", "n"])
 
-    got = sorted((tuple(r) for r in chosen.select("text", "lang").mapInArrow(features, "lang string, at binary, n binary").toLocalIterator()), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
-    counts = np.zeros((len(got), FEATURES), np.float32)
-    for i, (_, at, n) in enumerate(got):
-        counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-    named = np.array([r[0] for r in got])
-    keep = counts.sum(axis=1) > 0
-    counts, named = counts[keep], named[keep]
-    languages = sorted(set(named.tolist()))
-    if not languages:
+    # Rows that repeat count once: else the sample would grow with their number.
+    chosen = chosen.dropDuplicates(["lang", "doc_id", "text"]).select("text", "lang")
+    got = sorted((tuple(r) for r in chosen.mapInArrow(features, "lang string, at binary, n binary").collect()), key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))
+    drop(spark, sizes)
+    got = [(lang, np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4")) for lang, at, n in got if at]
+    if not got:
         return empty
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = tfidf(counts, idf)
-    centroids, owner, floors = [], [], []
-    for i, lang in enumerate(languages):
-        own = x[named == lang]
-        c = _kmeans(own, min(clusters, len(own)))
-        size = counts[named == lang].sum(axis=1)
+    held = np.zeros(FEATURES, np.int64)
+    by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for lang, at, n in got:
+        held[at] += 1
+        by_lang.setdefault(lang, []).append((at, n))
+    idf = (np.log((1 + len(got)) / (1 + held)) + 1).astype(np.float32)
+    languages, centroids, owner, floors = list(by_lang), [], [], []
+    for i, texts in enumerate(by_lang.values()):
+        counts = np.zeros((len(texts), FEATURES), np.float32)
+        for k, (at, n) in enumerate(texts):
+            counts[k, at] = n
+        own, size = tfidf(counts, idf), counts.sum(axis=1)
+        c = _kmeans(own, max(1, min(clusters, 2 * len(own) // LEAST)))
         floors.append(SLACK * float(np.percentile((own @ c.T).max(axis=1) / np.sqrt(size / (size + SHORT)), 1)))
-        centroids.append(c)
+        centroids.append(c.astype(np.float32))
         owner += [i] * len(c)
-    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), np.array(floors))
+    return Model(languages, idf, np.concatenate(centroids), np.array(owner), np.array(floors))
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
