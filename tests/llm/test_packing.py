@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -81,9 +82,74 @@ def test_brute_force_service_order():
         assert s.taken(k) == [sum(q == i for _, q in order[:k]) for i in range(3)]
 
 
-def test_a_queue_needs_weight():
+def test_a_queue_needs_weight(spark):
     with pytest.raises(ValueError):
         packing.Schedule([3, 2], [1, 0])
+    docs = spark.createDataFrame([(1, "x", "a"), (2, "y", None), (3, "z", "b")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="1 sources have no weight.*None"):
+        packing.pack(spark, docs, vocabulary(WORD_VOCABULARY), 1, weights={"a": 1, "b": 2, "absent": 3})
+
+
+def deficit_round_robin(totals, weights, window):
+    """Windows as a deficit round-robin fills them: in each, every queue that isn't dry is credited a quantum, its share of
+    the window; an id goes out of the queue whose credit minus half an id lies furthest, in its own quanta, above what it
+    has been served, and the deficit of each is carried to the next window.  Yields the ids served of each queue."""
+    served, credit = [0] * len(totals), [Fraction(0)] * len(totals)
+    while served != totals:
+        room, got = min(window, sum(totals) - sum(served)), [0] * len(totals)
+        while room:
+            live = [i for i, n in enumerate(totals) if served[i] + got[i] < n]
+            # The id whose half is paid for first goes first; a tie to the queue that comes first.
+            q = min(live, key=lambda i: ((2 * (got[i] - credit[i]) + 1) / weights[i], i))
+            got[q] += 1
+            room -= 1
+        total = sum(weights[i] for i, n in enumerate(totals) if served[i] < n)
+        for i, n in enumerate(totals):
+            credit[i] += Fraction(sum(got) * weights[i], total) - got[i] if served[i] < n else 0
+            served[i] += got[i]
+        yield list(served), list(credit)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 200), st.integers(1, 9)), min_size=1, max_size=5), st.integers(1, 40))
+def test_windows_equal_a_simulated_deficit_round_robin(queues, window):
+    totals, weights = [q[0] for q in queues], [q[1] for q in queues]
+    s = packing.Schedule(totals, weights, window=window, length=1)
+    for k, (served, credit) in enumerate(deficit_round_robin(totals, weights, window), 1):
+        if any(a == n for a, n in zip(served, totals)):
+            break  # the queues that are left share anew: see test_dry_queues_leave_their_share
+        assert s.at(k) == served
+        assert all(abs(c) <= len(queues) for c in credit)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 120), st.integers(1, 9)), min_size=1, max_size=5))
+def test_dry_queues_leave_their_share(queues):
+    """Between two queues running dry the others are served by their weights alone, whatever the phase."""
+    totals, weights = [q[0] for q in queues], [q[1] for q in queues]
+    s = packing.Schedule(totals, weights, window=16, length=1)
+    ends = [p[0] for p in s.phases] + [s.all]
+    for (begun, base, live), end in zip(s.phases, ends[1:]):
+        order = sorted((Fraction(2 * y + 1, 2 * w), q) for q, (n, t, w) in enumerate(zip(totals, base, live)) if w for y in range(n - t))
+        assert [x - y for x, y in zip(s.taken(begun), base)] == [0] * len(totals)
+        for served in range(begun, end):
+            got = [b + sum(q == i for _, q in order[: served - begun]) for i, b in enumerate(base)]
+            assert s.taken(served) == got
+
+
+def test_proportions_of_every_window_of_the_query(spark, sf_dir):
+    """On the query's own output: each window's ids of each source, deficits carried, are the target's within an id a source."""
+    source = dict(map(tuple, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()))
+    total, windows = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for p in op8_drr_packing(spark, sf_dir).collect():
+        total[source[p.doc_id]] += p.length
+        windows[p.sequence_id // packing.WINDOW][source[p.doc_id]] += p.length
+    carried, every = dict.fromkeys(total, 0.0), sum(total.values())
+    for k in sorted(windows):
+        size = sum(windows[k].values())
+        for q in total:
+            carried[q] += size * total[q] / every - windows[k][q]
+            assert abs(carried[q]) <= 1.5
 
 
 @pytest.mark.parametrize("weighted", [False, True])

@@ -151,8 +151,9 @@ def _encode(path: str, end_id: int):
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str | None, int] | None = None, length: int = LENGTH, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """Pieces of *docs* (doc_id, text, source): doc_id, start, length, ids (binary) or with *digest*
-    ids_crc32, doc_tokens, sequence_id, offset.  *weights* are target proportions by source; by default
-    the sources' own shares of all ids, with which all queues end together."""
+    ids_crc32, doc_tokens, sequence_id, offset.  *weights* are target proportions by source, positive integers; by default
+    the sources' own shares of all ids, with which all queues end together.  Weights of absent sources don't count; a
+    source without one raises ``ValueError``."""
     prepare(spark)
     queue = _queue_column()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), queue.alias("queue"))
@@ -162,6 +163,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, weig
     totals = {r[0]: r[1] for r in bases.groupBy("queue").agg(F.sum("sum")).collect()}  # a row a source
     names = sorted(totals)
     own = {"-" if k is None else f"s{k}": v for k, v in (weights or {}).items()}
+    if weights and (open_queues := [q for q in names if q not in own]):
+        raise ValueError(f"{len(open_queues)} sources have no weight, such as {[q[1:] or None for q in open_queues[:5]]}")
     shares = [own[q] for q in names] if weights else None
     schedule = Schedule([totals[q] for q in names], shares, length * window, length)
     index, dtype = {q: i for i, q in enumerate(names)}, encoder(tokenizer).dtype
