@@ -98,9 +98,11 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, chunker: Chunker = chu
     found = stage(spark, rows.mapInArrow(lambda batches: _candidates(batches, chunker), "hash binary, rank long, key long, n int, body string"), "line-chunks")
     place = F.struct("rank", "key", "n")
     firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
+    # Both small sides are tables, so that a frequent chunk's rows are split over tasks of the joins.
+    firsts = stage(spark, firsts, "line-firsts")
     repeats = stage(spark, found.join(firsts, "hash").withColumn("is_first", place == F.col("first")).drop("first"), "line-repeats")
-    drop(spark, found)
-    heads = repeats.where("is_first").groupBy("hash").agg(F.min("body").alias("first_body"))
+    drop(spark, found, firsts)
+    heads = stage(spark, repeats.where("is_first").groupBy("hash").agg(F.min("body").alias("first_body")), "line-heads")
     same = repeats.where("not is_first").join(heads, "hash").where("body = first_body")
     return same.groupBy("rank", "key").agg(F.collect_set("n").alias("cuts"))
 
