@@ -1,11 +1,11 @@
-"""Connected components of a large graph by repeated contraction."""
+"""Connected components of a large graph by repeated contraction, and what stays of each."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import drop, stage
+from treeline.llm.common import drop, stage, text_key
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -37,3 +37,17 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     out = stage(spark, out, "cc-roots")
     drop(spark, *maps)
     return out
+
+
+def keep_first(spark: SparkSession, rows: DataFrame, row: str, named: DataFrame) -> DataFrame:
+    """The rows of *rows* (doc_id, text, the row number *row* and others) that come first in their group, all columns but *row*.
+
+    *named* has ``row`` and ``root``, the row's group.  First is the least doc_id (null last), then a hash of the text,
+    then the row number, so exactly one row of a group stays whatever repeats.
+    """
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text_key(), F.col(row)).alias("place")
+    both = stage(spark, named.join(rows.select(F.col(row).alias("row"), place), "row"), "group-rows")
+    first = stage(spark, both.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("root", "first"), "group-firsts")
+    gone = stage(spark, both.join(first, "root").where("place <> first").select(F.col("row").alias(row)), "group-gone")
+    drop(spark, both, first)
+    return rows.join(gone, row, "left_anti").drop(row)

@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import drop, id_text, prepare, stage
-from treeline.llm.components import components
+from treeline.llm.common import drop, fresh, id_text, prepare, stage
+from treeline.llm.components import components, keep_first
 
 RADIUS = 2
 SHINGLE = 3
@@ -222,12 +222,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     linked = least.join(roots, "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(ids, "root").select("fp", "component_id")
-    # Rows of a frequent fingerprint meet one row of names, so a skewed join is split freely.
-    names = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # A table, so that the rows of a frequent fingerprint are split over tasks of the last join.
+    names = stage(spark, least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "fp-names")
+    drop(spark, least)
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of *docs* whose doc_id names their group; rows without a doc_id stay as they are."""
-    kept = near_duplicates(spark, docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left").where("_kept_id is not null or doc_id is null").select(*[docs[c] for c in docs.columns])
+    """Exactly one row of *docs* for each component: the least by doc_id (null last), hash of the text and row."""
+    prepare(spark)
+    row = fresh(docs, "_row")
+    rows = stage(spark, docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    fps = stage(spark, fingerprints(rows.select(F.col(row).alias("doc_id"), "text"), shingle).toDF("row", "fp"), "fingerprints")
+    roots = link_components(spark, fps.select("fp").distinct())
+    named = fps.join(roots, "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
+    out = keep_first(spark, rows, row, named)
+    drop(spark, fps, roots)
+    return out
