@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from treeline.llm.common import vocabulary
-from treeline.llm.prefixcount import PrefixCounter, count_tokens, prefix_tables
+from treeline.llm.prefixcount import PrefixCounter, answer, count_tokens, counts_of, fitting, prefix_tables, total_of
 from treeline.llm.queries import PIECE_VOCABULARY, op10_prefix_token_counts
 
 MODEL = vocabulary(PIECE_VOCABULARY)
@@ -29,16 +29,33 @@ TEXT = st.text(st.one_of(st.sampled_from(" \n\t▁abcestnhré日😀0<>"), st.ch
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_every_prefix(own, text):
-    table = own.prefixes(text)
-    assert own.totals_of([text]) == [table[-1]] if text else own.totals_of([text]) == [0]
+    table = counts_of(own.steps(text))
+    assert len(table) == len(text) + 1 and total_of(own.steps(text)) == table[-1]
     for i in range(len(text) + 1):
         assert table[i] == len(own.library.encode(text[:i]))
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(TEXT, TEXT.map(lambda t: " ".join(t.split(" ")) if t else t), st.lists(st.sampled_from(["there", "\nthan", "日本", "x😀y", "ations"]), max_size=8).map(" ".join)), st.integers(0, 30))
+@given(st.one_of(TEXT, st.lists(st.sampled_from(["there", "\nthan", "日本", "x😀y", "ations"]), max_size=8).map(" ".join)), st.integers(0, 30))
 def test_longest_fitting_prefix(own, text, budget):
-    assert own.fitting(text, budget) == max(i for i, n in enumerate(own.prefixes(text)) if n <= budget)
+    assert fitting(own.steps(text), budget) == max(i for i in range(len(text) + 1) if len(own.library.encode(text[:i])) <= budget)
+
+
+def test_tables_of_real_texts(spark, sf_dir, own):
+    """Stored tables at places all over each text; they answer every budget without the texts."""
+    texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = prefix_tables(spark, docs, MODEL)
+    for r in tables.collect():
+        text, counts = texts[r.doc_id], counts_of(r.steps)
+        assert len(counts) == len(text) + 1 and r.n_bytes == len(text.encode())
+        for i in {0, 1, len(text) // 3, len(text) // 2, len(text) - 1, len(text)}:
+            assert counts[i] == len(own.library.encode(text[:i]))
+    for limit in (50, 700):
+        for r in answer(spark, tables, limit).collect():
+            text = texts[r.doc_id]
+            assert r.over_limit == (r.n_tokens > limit) and len(own.library.encode(text[: r.fit_chars])) <= limit
+            assert r.over_limit or r.fit_chars == len(text)
 
 
 def test_awkward_rows(spark, own):
@@ -50,5 +67,5 @@ def test_awkward_rows(spark, own):
         text = next(b or "" for a, b in rows if a == r.doc_id)
         assert len(own.library.encode(text[: r.fit_chars])) <= 100
         assert r.fit_chars == len(text) or len(own.library.encode(text[: r.fit_chars + 1])) > 100
-    assert prefix_tables(spark, docs.where("doc_id = 3"), MODEL).first().counts[-1] == len(own.library.encode(rows[2][1]))
+    assert counts_of(prefix_tables(spark, docs.where("doc_id = 3"), MODEL).first().steps)[-1] == len(own.library.encode(rows[2][1]))
     assert count_tokens(spark, docs.limit(0), MODEL, 5).count() == 0

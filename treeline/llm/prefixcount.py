@@ -4,7 +4,11 @@ A merge never crosses the end of a piece that stays, so the tokens of a prefix a
 shorter prefix and one last piece; which piece is decided by whether it may follow the piece
 before it.  ``counts[j] = counts[j - len(piece)] + 1``.  No piece has a blank after another
 character or a line feed inside, so texts are handled run by run (blanks and the word after
-them) and the runs' tables are added up.  Truncation and budget questions read the table.
+them) and the runs' tables follow each other.
+
+The table of a text is stored as steps, one signed byte a character: how much the count changes with it.  Counts are their
+running sums.  :func:`prefix_tables` makes the tables of all texts; how many tokens a text has, whether it is over a limit and where
+it has to be cut (:func:`answer`) is read from stored tables, without the texts.
 
 Cases: a null text is empty and has no tokens; texts of any length are counted whole; characters
 without a piece count as their UTF-8 bytes; repeated rows all stay; columns other than doc_id
@@ -15,9 +19,7 @@ from __future__ import annotations
 
 import functools
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from treeline.llm.cache import Cache
-from treeline.llm.common import id_text, prepare
+from treeline.llm.common import id_text, prepare, stage
 
 BLANK = "▁"
-CACHE_WORDS = 900_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 1_000_000
 CACHE_STARTS = 60_000
 START = 6
@@ -58,7 +60,12 @@ class PrefixCounter:
         # Tables of the first characters of runs, which many runs have in common.
         self.starts = Cache(self._grow, CACHE_STARTS)
         self.pairs: dict[int, bool] = {}
-        self.totals = Cache(self._key_total, CACHE_WORDS)
+        # Steps of a run, and of what stands between two single blanks.
+        self.runs = Cache(self._run_steps, CACHE_WORDS // 4)
+        self.keys = Cache(self._key_steps, CACHE_WORDS)
+        self.run = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+        if 4 * max(map(len, self.pieces)) > 127:
+            raise ValueError("pieces are too long for steps of a byte")
 
     def _follows(self, last: int, piece: int) -> bool:
         """Whether *piece* after *last* (-1: a barrier) comes out as just these two."""
@@ -106,63 +113,41 @@ class PrefixCounter:
         counts.append(counts[-1] + len(char.encode("utf-8", "surrogatepass")))
         lasts.append(-1)
 
-    def _key_total(self, key: str) -> int:
-        """Tokens of a word with the blank before it, or of a line feed and the word after it."""
-        return 1 + self.run_counts(key[1:])[-1] if key[0] == "\n" else self.run_counts(BLANK + key)[-1]
+    def _run_steps(self, run: str) -> bytes:
+        if run == "\n":
+            return b"\x01"
+        return np.diff(np.array(self.run_counts(run))).astype(np.int8).tobytes()
 
-    @staticmethod
-    def _keys(text: str) -> list[str]:
-        return text.replace(BLANK, " ").replace("\n", " \n").split(" ")
-
-    def totals_of(self, texts: list[str]) -> list[int]:
-        """Token counts of whole texts."""
-        totals = self.totals
-        out = []
-        for text in texts:
-            own = self._keys(text)
-            if not text:
-                out.append(0)
-            elif "" not in own:
-                out.append(sum(map(totals.__getitem__, own)))
-            else:
-                n = blanks = 0
-                for key in own:
-                    if not key:
-                        blanks += 1
-                    elif not blanks:
-                        n += totals[key]
-                    elif key[0] == "\n":
-                        n, blanks = n + self.run_counts(BLANK * blanks)[-1] + totals[key], 0
-                    else:
-                        n, blanks = n + self.run_counts(BLANK * (blanks + 1) + key)[-1], 0
-                out.append(n + (self.run_counts(BLANK * blanks)[-1] if blanks else 0))
-        return out
-
-    def prefixes(self, text: str) -> np.ndarray:
-        """Tokens of ``text[:i]`` for i from 0 to the text's length."""
-        out = np.zeros(len(text) + 1, np.int64)
-        whole, at, base = BLANK + text.replace(" ", BLANK), 0, 0
-        for run in re.findall(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+", whole):
-            counts = np.array(self.run_counts(run)) if run != "\n" else np.array([0, 1])
-            out[at : at + len(run)] = base + counts[1:]
-            at, base = at + len(run), base + int(counts[-1])
-        out[0] = 0
-        return out
-
-    def fitting(self, text: str, budget: int) -> int:
-        """The longest prefix, in characters, of *budget* tokens or fewer."""
-        own = self._keys(text)
-        if "" in own:
-            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
-        # Only the run in which the running total passes the budget needs its table.
-        sums = list(accumulate(map(self.totals.__getitem__, own)))
-        k = bisect_right(sums, budget)
-        if k == len(own):
-            return len(text)
-        key, base = own[k], sums[k - 1] if k else 0
-        at = sum(len(x) + (x[0] != "\n") for x in own[:k])
-        counts = [0, *(1 + n for n in self.run_counts(key[1:]))] if key[0] == "\n" else self.run_counts(BLANK + key)
-        return max(0, at - 1 + max(j for j, n in enumerate(counts) if base + n <= budget))
+    def _key_steps(self, key: str) -> bytes:
+        """Steps of a word with the blank before it, or of a line feed and the word after it."""
+        return b"".join(map(self._run_steps, self.run.findall(key if key[0] == "\n" else BLANK + key)))
+
+    def steps(self, text: str) -> bytes:
+        """The table of *text*: by how much the count changes with each character, as signed bytes."""
+        if not text:
+            return b""
+        keys = text.replace(BLANK, " ").replace("\n", " \n").split(" ")
+        if "" not in keys:
+            out = b"".join(map(self.keys.__getitem__, keys))
+        else:  # blanks that meet, or outer ones, belong to one run with the word after them
+            out = b"".join(map(self.runs.__getitem__, self.run.findall(BLANK + text.replace(" ", BLANK))))
+        # The library's blank before the text counts with the first character.
+        first = int.from_bytes(out[:1], signed=True) + int.from_bytes(out[1:2], signed=True)
+        return first.to_bytes(1, signed=True) + out[2:]
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """Tokens of every prefix, from none to the whole text."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
+
+
+def total_of(steps: bytes) -> int:
+    return int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))
+
+
+def fitting(steps: bytes, budget: int) -> int:
+    """The longest prefix, in characters, of *budget* tokens or fewer."""
+    return int(np.flatnonzero(counts_of(steps) <= budget)[-1])
 
 
 def counter(path: str) -> PrefixCounter:
@@ -171,32 +156,35 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, model: str, limit: int) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and fit_chars, the longest prefix within *limit* tokens."""
+def prefix_tables(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_bytes (UTF-8) and steps, the table of the whole text: see :func:`counts_of`."""
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            totals = own.totals_of(texts)
-            fits = [len(t) if n <= limit else own.fitting(t, limit) for t, n in zip(texts, totals)]
-            columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals]), pa.array(fits, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+            columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(own.steps, texts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "steps"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, steps binary")
 
 
-def prefix_tables(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and counts, the table itself: tokens of every prefix of the text."""
+def answer(spark: SparkSession, tables: DataFrame, limit: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit and fit_chars, the longest prefix within *limit* tokens, from *tables* alone."""
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                tables = [own.prefixes(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tables, pa.list_(pa.int64()))], ["doc_id", "counts"])
+            steps = batch.column(2).to_pylist()
+            totals = [total_of(s) for s in steps]
+            fits = [len(s) if n <= limit else fitting(s, limit) for s, n in zip(steps, totals)]
+            columns = [*batch.columns[:2], pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), pa.array(fits, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+
+    return tables.select("doc_id", "n_bytes", "steps").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
-    return id_text(docs).mapInArrow(run, "doc_id long, counts array<long>")
+
+def count_tokens(spark: SparkSession, docs: DataFrame, model: str, limit: int) -> DataFrame:
+    """Store the tables of *docs* and answer from them."""
+    return answer(spark, stage(spark, prefix_tables(spark, docs, model), "prefix-tables"), limit)
