@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,6 +33,8 @@ def test_whole_table(spark, sf_dir):
     got = sorted(map(tuple, op5_substring_dedup(spark, sf_dir).collect()))
     assert got == [(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(docs)]
     assert sum(r[2] for r in got) > 0
+    duckdb.sql(f"create or replace view documents as select * from '{sf_dir}/documents.parquet'")
+    assert duckdb.sql(f"select doc_id, n_words, n_removed, kept_sha256 from ({substring.ORACLE}) order by doc_id").fetchall() == got
 
 
 def test_awkward_rows(spark, monkeypatch):
@@ -46,6 +50,7 @@ def test_awkward_rows(spark, monkeypatch):
     assert [(r.n_words, r.n_removed, r.kept) for r in dedup_substrings(spark, twice).collect()] == [(60, 0, one)] * 2
     assert dedup_substrings(spark, docs.limit(0)).count() == 0
     monkeypatch.setattr(substring, "SHARD_WORDS", 30)
+    monkeypatch.setattr(substring, "SPAN", 3)
     assert sorted(map(tuple, dedup_substrings(spark, docs).collect()), key=str) == want
 
 
@@ -81,3 +86,15 @@ def test_equal_windows_have_equal_anchors():
     assert anchors([b"x", b"y", *words])[0][2:].tolist() == anchors(words)[0].tolist()
     gone = covered([(5, words)], [(1 << 8, words[10:40])], 8)[5]
     assert gone.tolist() == [10 <= i < 40 for i in range(100)]
+
+
+def test_window_hashes_are_those_of_the_words_alone():
+    rng = random.Random(7)
+    words = [b"%d" % rng.randrange(9) for _ in range(200)]
+    own = substring.word_hashes(words)
+    for n in (1, 5, 6, 20):
+        for shifts in (substring.SHIFTS, substring.CHECKS):
+            whole = substring.rolled(own, n, shifts)
+            assert len(whole) == 200 - n + 1
+            assert all(np.array_equal(substring.rolled(own[i : i + n], n, shifts), whole[i : i + 1]) for i in range(len(whole)))
+    assert not np.array_equal(substring.rolled(own, 20), substring.rolled(own, 20, substring.CHECKS))

@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": linededup.ORACLE}
+    return {"op5_substring_dedup": substring.ORACLE, "op9_line_dedup": linededup.ORACLE}

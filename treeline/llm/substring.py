@@ -4,7 +4,8 @@ A window is ``WINDOW`` words of one document; a word goes if some window over it
 a window that starts earlier (smaller doc_id, or earlier in the same document).
 
 Streaming every document past an automaton of the whole corpus would take time in the square of the corpus, so the
-corpus is first narrowed to what can repeat, each time by hashes that can only let too much pass:
+corpus is first narrowed to what can repeat, by hashes.  Anchors can only let too much pass.  Windows that differ and share their 96 bits
+could hide a repeat behind an earlier window; in 1e13 windows there is one such pair with probability 0.0006.
 
 1. Every window has an anchor, the least hash among the ``GRAM``-word grams in it; equal windows have equal
    anchors.  Only documents with anchors that occur twice go on, with their runs of such windows.
@@ -40,10 +41,10 @@ WINDOW = 20
 GRAM = 6
 SHARD_WORDS = 40_000
 LAST = (1 << 63) - 1
-#: Lists of what is asked of one document are split so many ways.
-SALT = 64
-#: By a run's length: what its predecessor's hash is multiplied by.
-SHIFTS = {1 << k: np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(12)}
+#: What so many buckets ask of one document is listed together.
+SPAN = 64
+#: By a run's length: what its predecessor's hash is multiplied by; the second kind is for windows' check bits.
+SHIFTS, CHECKS = ({1 << k: np.uint64(pow(m, 1 << k, 1 << 64)) for k in range(12)} for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 _hash = Cache(lambda w: xxhash.xxh64_intdigest(w, 7), 300_000).__getitem__
 
@@ -53,9 +54,13 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def rolled(words: list[bytes], n: int) -> np.ndarray:
-    """Hashes of all runs of *n* words, by doubling: a run's hash follows from those of its parts."""
-    power = np.fromiter(map(_hash, words), np.uint64, len(words))  # of runs of 1, 2, 4, ... words
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hash, words), np.uint64, len(words))
+
+
+def rolled(words: np.ndarray, n: int, shifts: dict[int, np.uint64] = SHIFTS) -> np.ndarray:
+    """Hashes of all runs of *n* words from the words' hashes, by doubling: a run's hash follows from those of its parts."""
+    power = words  # of runs of 1, 2, 4, ... words
     size, done, out = 1, 0, None
     while size <= n:
         if n & size:
@@ -63,10 +68,10 @@ def rolled(words: list[bytes], n: int) -> np.ndarray:
                 out = power
             else:
                 count = len(words) - done - size + 1
-                out = out[: max(0, count)] * SHIFTS[size] + power[done : done + max(0, count)]
+                out = out[: max(0, count)] * shifts[size] + power[done : done + max(0, count)]
             done += size
         if 2 * size <= n:
-            power = power[:-size] * SHIFTS[size] + power[size:]
+            power = power[:-size] * shifts[size] + power[size:]
         size *= 2
     out = out[: max(0, len(words) - n + 1)]
     out = out ^ (out >> np.uint64(29))
@@ -75,7 +80,7 @@ def rolled(words: list[bytes], n: int) -> np.ndarray:
 
 def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of every window, and the hashes of grams that the text holds twice."""
-    grams = rolled(words, gram)
+    grams = rolled(word_hashes(words), gram)
     ordered = np.sort(grams)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     least, have, want = grams, 1, window - gram + 1
@@ -211,20 +216,22 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, places = [], []
+            hashes, checks, places = [], [], []
             lists = batch.column(2).offsets.to_numpy()
             runs = batch.column(2).values
             starts, sizes = (runs.field(k).to_numpy() for k in ("start", "n"))
             for doc, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists, lists[1:]):
-                own = rolled(split(text), WINDOW).view(np.int64)
+                words = word_hashes(split(text))
+                own, check = rolled(words, WINDOW).view(np.int64), rolled(words, WINDOW, CHECKS)
                 change = np.zeros(len(own) + 1, np.int32)
                 np.add.at(change, starts[a:b], 1)
                 np.add.at(change, starts[a:b] + sizes[a:b], -1)
                 at = np.flatnonzero(np.cumsum(change[:-1]))
                 hashes.append(own[at])
+                checks.append((check[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 places.append((doc << bits) + at)
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], ["hash", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, checks, places)], ["hash", "check", "place"])
 
     return run
 
@@ -315,6 +322,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     found = stage(spark, rows.mapInArrow(_anchor_runs, "value long, rank long, key long, start long, n long, times long"), "anchors")
     again = found.groupBy("value").agg(F.sum("times").alias("times")).where("times > 1").select("value")
+    again = stage(spark, again, "anchors-again")  # as a table, so that a frequent anchor's rows are split over tasks of the join
     runs = found.join(again, "value").groupBy("rank", "key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = stage(spark, runs, "anchor-runs")
@@ -326,13 +334,13 @@ def repeated_words(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bits = max(8, int(longest or 0).bit_length() + 1)
     texts = rows.join(runs.join(numbers, ["rank", "key"]), ["rank", "key"]).dropDuplicates(["rank", "key"])
     texts = stage(spark, texts.select("doc", "text", "runs"), "repeat-texts")
-    drop(spark, found, runs, ordered)
+    drop(spark, found, again, runs, ordered)
 
-    windows = stage(spark, texts.select("doc", "text", "runs").mapInArrow(_windows(bits), "hash long, place long"), "windows")
-    firsts = windows.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("hash", "first")
+    windows = stage(spark, texts.select("doc", "text", "runs").mapInArrow(_windows(bits), "hash long, check int, place long"), "windows")
+    firsts = windows.groupBy("hash", "check").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("hash", "check", "first")
     # As a table, so that the join's skewed side can be split.
     firsts = stage(spark, firsts, "first-windows")
-    later = windows.join(firsts, "hash").where("place <> first").select("place", "first", F.shiftright("place", bits).alias("doc"))
+    later = windows.join(firsts, ["hash", "check"]).where("place <> first").select("place", "first", F.shiftright("place", bits).alias("doc"))
     later = later.repartition("doc").sortWithinPartitions("place").select("place", "first").mapInArrow(_later_runs(bits), "doc long, source long, start long, n long")
     later = stage(spark, later, "later-runs")
     drop(spark, windows, firsts)
@@ -340,7 +348,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame) -> DataFrame:
     total = later.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
     buckets = max(1, -(-int(total) // SHARD_WORDS))
     bucket = F.pmod(F.xxhash64("doc"), F.lit(buckets))
-    wants = later.select("source", bucket.alias("bucket"), "start", "n").groupBy("source", F.pmod("bucket", F.lit(SALT)).alias("salt")).agg(F.collect_set(F.struct("bucket", "start", "n")).alias("wants"))
+    wants = later.select("source", bucket.alias("bucket"), "start", "n").groupBy("source", F.floor(F.col("bucket") / SPAN).alias("span")).agg(F.collect_set(F.struct("bucket", "start", "n")).alias("wants"))
     passages = wants.withColumnRenamed("source", "doc").join(texts.select("doc", "text"), "doc").select("doc", "text", "wants").mapInArrow(_passages(bits), "bucket long, kind int, id long, text string")
     asking = texts.join(later.select("doc").distinct(), "doc").select(bucket.alias("bucket"), F.lit(1).alias("kind"), F.col("doc").alias("id"), "text")
     dealt = passages.union(asking).repartition("bucket").sortWithinPartitions("bucket", "kind", "id")
@@ -368,3 +376,16 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, digest: bool = False)
     whole = rows.mapInArrow(words, "doc_id long, rank long, key long, n_words long, own string")
     joined = whole.join(changed.select("rank", "key", "n_removed", value.alias("other")), ["rank", "key"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("other", "own").alias(name))
+
+
+#: Every window as a list of words; the first of equal ones stays.
+ORACLE = r"""
+with d as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+w as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+g as (select *, list(word) over (partition by doc_id order by i rows between current row and 19 following) as win from w),
+r as (select doc_id, i, word, len(win) = 20 and row_number() over (partition by win order by doc_id, i) > 1 as again from g),
+c as (select *, bool_or(again) over (partition by doc_id order by i rows between 19 preceding and current row) as gone from r)
+select d.doc_id, count(c.i) as n_words, count(*) filter (where gone) as n_removed,
+       sha256(coalesce(string_agg(word, ' ' order by i) filter (where not gone), '')) as kept_sha256
+from d left join c on d.doc_id = c.doc_id group by d.doc_id
+"""
