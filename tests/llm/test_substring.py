@@ -98,3 +98,21 @@ def test_window_hashes_are_those_of_the_words_alone():
             assert len(whole) == 200 - n + 1
             assert all(np.array_equal(substring.rolled(own[i : i + n], n, shifts), whole[i : i + 1]) for i in range(len(whole)))
     assert not np.array_equal(substring.rolled(own, 20), substring.rolled(own, 20, substring.CHECKS))
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark):
+    rng = random.Random(9)
+    word = lambda: "w" + str(rng.randrange(300))
+    passages = [[word() for _ in range(30)] for _ in range(20)]
+    rows = []
+    for d in range(80):
+        own = [word() for _ in range(rng.randrange(40))]
+        for part in rng.sample(passages, 2):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = part[rng.randrange(5) :]
+        rows.append((d, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(d, g, k) for d, _, g, k in brute(rows) if g}
+    for hash_bits in (64, 6):
+        got = {(r["rank"], r.n_removed, r.kept) for r in substring.repeated_words(spark, docs, hash_bits).collect() if r.n_removed}
+        assert got == want

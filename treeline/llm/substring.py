@@ -213,7 +213,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def _windows(bits: int):
+def _windows(bits: int, hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, checks, places = [], [], []
@@ -227,7 +227,7 @@ def _windows(bits: int):
                 np.add.at(change, starts[a:b], 1)
                 np.add.at(change, starts[a:b] + sizes[a:b], -1)
                 at = np.flatnonzero(np.cumsum(change[:-1]))
-                hashes.append(own[at])
+                hashes.append(own[at] >> (64 - hash_bits))
                 checks.append((check[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 places.append((doc << bits) + at)
             if hashes:
@@ -317,8 +317,8 @@ def _decide(bits: int):
     return run
 
 
-def repeated_words(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """rank, key, n_removed and kept (text) of the documents that lose words."""
+def repeated_words(spark: SparkSession, docs: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """rank, key, n_removed and kept (text) of the documents that lose words; fewer *hash_bits* change no result."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
     found = stage(spark, rows.mapInArrow(_anchor_runs, "value long, rank long, key long, start long, n long, times long"), "anchors")
     again = found.groupBy("value").agg(F.sum("times").alias("times")).where("times > 1").select("value")
@@ -336,11 +336,17 @@ def repeated_words(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts = stage(spark, texts.select("doc", "text", "runs"), "repeat-texts")
     drop(spark, found, again, runs, ordered)
 
-    windows = stage(spark, texts.select("doc", "text", "runs").mapInArrow(_windows(bits), "hash long, check int, place long"), "windows")
-    firsts = windows.groupBy("hash", "check").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first <> final").select("hash", "check", "first")
+    windows = stage(spark, texts.select("doc", "text", "runs").mapInArrow(_windows(bits, hash_bits), "hash long, check int, place long"), "windows")
+    firsts = windows.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("final"), F.min("check").alias("low"), F.max("check").alias("high")).where("first <> final")
     # As a table, so that the join's skewed side can be split.
-    firsts = stage(spark, firsts, "first-windows")
-    later = windows.join(firsts, ["hash", "check"]).where("place <> first").select("place", "first", F.shiftright("place", bits).alias("doc"))
+    firsts = stage(spark, firsts.select("hash", "first", (F.col("low") != F.col("high")).alias("mixed")), "first-windows")
+    later = windows.select("hash", "place").join(firsts.where("not mixed").select("hash", "first"), "hash").where("place <> first").select("place", "first")
+    mixed = firsts.where("mixed").select("hash")
+    if not mixed.isEmpty():  # windows that differ have one hash: their check bits tell them apart
+        apart = windows.join(mixed, "hash", "left_semi")
+        own = stage(spark, apart.groupBy("hash", "check").agg(F.min("place").alias("first")), "mixed-windows")
+        later = later.union(apart.join(own, ["hash", "check"]).where("place <> first").select("place", "first"))
+    later = later.withColumn("doc", F.shiftright("place", bits))
     later = later.repartition("doc").sortWithinPartitions("place").select("place", "first").mapInArrow(_later_runs(bits), "doc long, source long, start long, n long")
     later = stage(spark, later, "later-runs")
     drop(spark, windows, firsts)
