@@ -6,7 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 #: Words kept in one generation of a worker's cache (there are two), and the longest that is kept.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 CACHE_CHARS = 64
 
 

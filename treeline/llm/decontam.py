@@ -52,6 +52,8 @@ SLACK = 1e-4
 SHARD_WORDS = 2_000_000
 #: Words and half passages that are looked at together, and sums that are held as a table for them.
 CHUNK_WORDS, HALVES, CELLS = 1 << 18, 1 << 12, 1 << 22
+#: Words in one of the two generations of a worker's cache of hashes.
+CACHE_WORDS = 100_000
 OUTER = string.punctuation + "«»“”‘’„…–—¿¡"
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -325,7 +327,7 @@ def build_indexes(spark: SparkSession, benchmark: DataFrame, shard_words: int =
 
 def finder(shards: list[Broadcast]) -> Callable[[list[str | None]], list[list[tuple]]]:
     """A worker's search of texts in all shards: for each text what :meth:`ItemIndex.find` says."""
-    hash_of = Cache(word_hash).__getitem__
+    hash_of = Cache(word_hash, CACHE_WORDS).__getitem__
 
     def find(texts: list[str | None]) -> list[list[tuple]]:
         chunks: list[tuple[int, list[np.ndarray]]] = []
