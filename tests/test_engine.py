@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
 
+from treeline.functions import stats
 from treeline.functions import text as T
 from treeline.functions.stats import measured_fanout, min_max_normalised
 from treeline.model import Entity, JoinTree, QueryTemplate, Relation
@@ -181,3 +182,106 @@ def test_view_of_equal_key_with_other_names(spark, data):
     instances = spark.createDataFrame([(a, b, x) for a in range(4) for b in range(4) for x in range(3)], "a1 long, a2 long, x long")
     want = sorted(map(tuple, engine.run_direct(QUERY, instances).collect()))
     assert sorted(map(tuple, engine.run(find_covers(turned, QUERY), instances).collect())) == want
+
+
+def test_instances_are_answered_from_what_they_reach(spark, sf_dir):
+    """Raw relations are restricted by the instances before they are made distinct; the answers are those of distinct ones."""
+    from treeline import queries as Q
+
+    names = ("part_order", "supplier_order", "order_customer")
+    query = QueryTemplate("depth2", Q.DEPTH2)
+    asked = spark.createDataFrame([(i, p, s) for i, (p, s) in enumerate([(1, 1), (982, 22), (-1, 3), (5, 7), (5, 7)])], "iid long, p long, s long")
+    direct = Engine(spark, Q.pairs(spark, sf_dir, *names), Q.raw(spark, sf_dir, *names)).run_direct(query, asked)
+    want = Engine(spark, Q.pairs(spark, sf_dir, *names)).run([*base_covers(query)], asked)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, want.collect()))
+    plan = direct._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [p") :] if "Aggregate [p" in plan else plan
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi") and "LeftSemi" in below
+
+
+def test_inverted_index_moves_texts_once(spark, sf_dir):
+    index = T.inverted_index(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(doc_id" in plan
+
+
+def test_bucketed_views_join_without_exchange(spark, data):
+    _, pairs = data
+    engine = Engine(spark, pairs, buckets=4)
+    one, two = ViewSpec(JoinTree.edge(AB, "b1", "m")), ViewSpec(JoinTree.compose(B, "m", [(AB, JoinTree.leaf(A, "b1"))]))
+    left = engine.materialize(one)
+    key = left.columns[0]
+    right = engine.materialize(two).withColumnRenamed("m" if key == "b1" else "b1", "other")
+    joined = left.hint("merge").join(right, key)
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == left.alias("x").join(left.alias("y"), key).count()
+
+
+def test_bound_views_are_checked(spark, data):
+    _, pairs = data
+    engine, spec = Engine(spark, pairs), ViewSpec(JoinTree.edge(AB, "x", "y"))
+    good = engine.materialize(spec)
+    assert engine.bind(spec, good) is good
+    for bad in (good.select(*reversed(good.columns)), good.withColumn("x", F.col("x").cast("string")), good.select("x"), good.withColumn("z", F.lit(1))):
+        with pytest.raises(ValueError):
+            engine.bind(spec, bad)
+
+
+def test_explained_covers(spark, data):
+    _, pairs = data
+    engine, instances = Engine(spark, pairs), spark.createDataFrame([(0, 1, 2)], "a1 long, a2 long, x long")
+    covers = base_covers(QUERY)
+    engine.materialize(covers[0].view)
+    said = engine.explain(covers, instances)
+    assert said.count("view ") >= len(QUERY.goals) and "stored view" in said and "joined view" in said and "Physical Plan" in said
+
+
+def test_lines_of_several_files_and_splits(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    (folder / "a.txt").write_text("".join(f"a{i}\n" for i in range(3000)))
+    (folder / "b.txt").write_text("b0\n\nb2\r\nb3")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        docs = T.read_lines(spark, str(folder))
+        assert docs.rdd.getNumPartitions() >= 1
+        got = sorted(map(tuple, docs.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i + 1, f"a{i}") for i in range(3000)] + [(3001, "b0"), (3002, ""), (3003, "b2\r"), (3004, "b3")]
+
+
+def test_ordered_scans_held_columns_and_draws(spark):
+    df = spark.createDataFrame([(3, 1), (1, 1), (2, 5), (1, 7)], "l long, r long")
+    nav = Navigator(df, ["l", "r"]).hold()
+    assert [r.l for r in nav.scan(ordered=True).collect()] == [1, 2, 3] and nav.held.is_cached
+    nav.held.unpersist()
+    u = spark.range(1000).select((F.col("id") / 1000).alias("u")).select(stats.sample_index(F.col("u"), [1, 0, 2, 1]).alias("k"))
+    assert {r.k: r["count"] for r in u.groupBy("k").count().collect()} == {0: 250, 2: 500, 3: 250}
+    assert spark.range(1).select(stats.sample_index(F.lit(0.4), [5])).first()[0] == 0
+
+
+def test_fanout_plan_makes_pairs_distinct_once(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    found = measured_fanout(relation(lines, "l_partkey", "l_orderkey").select("l", "r"))
+    assert "Expand" not in plan_of(found)
+    want = lines.agg(F.count_distinct("l_partkey", "l_orderkey"), F.count_distinct("l_partkey"), F.count_distinct("l_orderkey")).first()
+    assert tuple(found.select("pairs", "lefts", "rights").first()) == tuple(want)
+
+
+def test_batches_and_scratch_folders(spark, tmp_path):
+    from treeline.sources import storage
+    from treeline.streaming.append import append_stream, compact, unmerged
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c")], "u long, t string")
+    for k in range(2):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    append_stream(stream, "u", "t", str(tmp_path / "rows"), str(tmp_path / "log")).awaitTermination()
+    assert sorted(map(tuple, unmerged(spark, str(tmp_path / "rows")).collect())) == [(k, *r) for k in range(2) for r in ((1, "a", 2), (2, "b", 1))]
+    assert sorted(map(tuple, compact(spark, str(tmp_path / "rows"), str(tmp_path / "all")).collect())) == [(1, "a", 4), (2, "b", 2)]
+    before = dict(storage._made)
+    path = storage.scratch_path(spark, "gone")
+    rows.write.parquet(path)
+    storage.delete(spark, path)
+    assert storage._made == before and not (tmp_path / path).exists()

@@ -129,3 +129,10 @@ def test_times_are_bounded_below():
     rng = random.Random(1)
     for k in rng.sample(range(len(advisor.covers)), min(8, len(advisor.covers))):
         assert advisor.covers[k].time_under <= advisor.covers[k].time_after(frozenset()) + 1e-6
+
+
+def test_small_workload_s_optimum_by_trying_all():
+    from treeline.queries import SMALL_OPTIMUM, _small_workload
+
+    advisor = Advisor(_small_workload(), CostParams(10, 100, 2**32 - 1, 0.1), max_depth=3)
+    assert all_designs(advisor) == pytest.approx(SMALL_OPTIMUM, abs=1e-6)

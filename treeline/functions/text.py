@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,10 @@ def tokens(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def inverted_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(k, d, p, mult)`` with multiplicities, for documents given more than once."""
-    return tokens(docs, doc, text).groupBy("k", "d", "p").agg(F.count("*").alias("mult"))
+    """``(k, d, p, mult)`` with multiplicities, for documents given more than once.
+
+    Texts are dealt by document, which is all the grouping of their tokens needs: the one exchange moves texts, not tokens."""
+    return tokens(docs.select(doc, text).repartition(F.col(doc)), doc, text).groupBy("k", "d", "p").agg(F.count("*").alias("mult"))
 
 
 def tags(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,13 +42,18 @@ def tags(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     return one.select("d", F.regexp_extract("m", r"#(\w+)\{([^}]*)\}", 1).alias("tag"), F.regexp_extract("m", r"#(\w+)\{([^}]*)\}", 2).alias("value"))
 
 
-def read_lines(spark, path: str) -> DataFrame:
-    """``(doc_id, text)``: one line, one document, numbered from 1 in the file's order.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, text)``: one line, one document, numbered from 1 in the order of files (by path) and lines.
 
-    Numbering needs the order of one file, so it reads each file as one task.
+    Files are read in splits; the lines of each are counted, and a line's number is its place in its split
+    after the lines of all splits before.  An empty line is an empty document.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("p", "text"))
-    return lines.select((F.col("p") + 1).cast("long").alias("doc_id"), "text")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    # A row for each split.
+    splits = splits.select("file", "block", "first", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("before"))
+    return lines.join(splits, ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("doc_id"), F.col("value").alias("text"))
 
 
 def normalise(weights: list[float]) -> list[float]:

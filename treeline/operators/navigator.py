@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 class Navigator:
     """Stands at a column of *df* with the columns before it bound to values."""
 
-    def __init__(self, df: DataFrame, columns: list[str], bound: tuple[Any, ...] = ()):
-        self.df, self.columns, self.bound = df, columns, bound
+    def __init__(self, df: DataFrame, columns: list[str], bound: tuple[Any, ...] = (), held: DataFrame | None = None):
+        self.df, self.columns, self.bound, self.held = df, columns, bound, held
 
     @property
     def column(self) -> str:
@@ -26,9 +26,14 @@ class Navigator:
 
     def scan(self, ordered: bool = False) -> DataFrame:
         """Distinct values of the current column."""
-        out = self._rows().select(self.column).distinct()
+        out = self.held if self.held is not None else self._rows().select(self.column).distinct()
         return out.orderBy(self.column) if ordered else out
 
+    def hold(self) -> Navigator:
+        """The same place with the values of its column kept in executors' memory, or on their disks, for scans to come;
+        ``navigator.held.unpersist()`` frees them."""
+        return Navigator(self.df, self.columns, self.bound, self.scan().persist())
+
     def look_up(self, value: Any) -> Navigator:
         """Bind the current column and step to the next."""
         if len(self.bound) + 1 >= len(self.columns):

@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
-from treeline.functions.stats import estimated_fanout_column, measured_fanout, min_max_normalised
+from treeline.functions.stats import estimated_fanout_column, measured_fanout, min_max_normalised, sample_index
 from treeline.model import Entity, JoinTree, QueryTemplate, Relation
 from treeline.operators.joins import tree_join
 from treeline.operators.navigator import Navigator, look_up, restrict
 from treeline.plans.advisor import Advisor, Pick, Result
 from treeline.plans.cost import CostParams, ViewSpec
 from treeline.plans.cover import find_covers
-from treeline.plans.engine import Engine
+from treeline.plans.engine import Engine, base_covers
 from treeline.plans.generate import random_workload
-from treeline.sources.catalog import Catalog, invert, merge, relation
-from treeline.sources.storage import scratch_path
-from treeline.streaming.append import append_stream, current
+from treeline.sources.catalog import Catalog, invert, load_config, merge, random_relation, raw_pairs, relation
+from treeline.sources.storage import append_csv, scratch_path, write_table
+from treeline.streaming.append import append_stream, current, unmerged
 
 PART, SUPPLIER, ORDER, CUSTOMER, SEGMENT, NATION, REGION, TOKEN, DOCUMENT, LANG, USER, EVENT_TYPE = (
     Entity(n) for n in ("part", "supplier", "order", "customer", "segment", "nation", "region", "token", "document", "lang", "user", "event_type")
@@ -48,6 +48,10 @@ def counted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return relation(table(spark, sf_dir, source), left, right)
 
 
+def raw(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return {n: raw_pairs(table(spark, sf_dir, RELATIONS[n][2]), *RELATIONS[n][3:]) for n in names}
+
+
 def pairs(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: counted(spark, sf_dir, n).select("l", "r") for n in names}
 
@@ -154,7 +158,9 @@ def rule_characters(spark, sf_dir):
 
 def kw2(spark, sf_dir):
     found = T.tokens(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("k").isin("un", "la"))
-    own = pairs(spark, sf_dir, "document_lang") | {"token_document": relation(found, "k", "d").select("l", "r")}
+    # Stored, so that both keywords are read from one pass over the texts.
+    held = write_table(relation(found, "k", "d").select("l", "r"), scratch_path(spark, "keywords"))
+    own = pairs(spark, sf_dir, "document_lang") | {"token_document": held}
     tree = JoinTree.compose(LANG, "lang", [(REL["document_lang"], JoinTree.compose(DOCUMENT, "d", [(REL["token_document"], leaf(TOKEN, "k1", "un")), (REL["token_document"], leaf(TOKEN, "k2", "la"))]))])
     return tree_join(tree, own)
 
@@ -190,7 +196,8 @@ def user_type(spark, sf_dir):
 
 # -- instances and views ---------------------------------------------------------
 def _depth2_engine(spark, sf_dir) -> tuple[Engine, QueryTemplate]:
-    return Engine(spark, pairs(spark, sf_dir, "part_order", "supplier_order", "order_customer")), QueryTemplate("depth2", DEPTH2)
+    names = ("part_order", "supplier_order", "order_customer")
+    return Engine(spark, pairs(spark, sf_dir, *names), raw(spark, sf_dir, *names)), QueryTemplate("depth2", DEPTH2)
 
 
 def instance(spark, sf_dir):
@@ -219,13 +226,13 @@ def view_build(spark, sf_dir):
 
 
 def worked_rewriting(spark, sf_dir):
-    """Two parts in one order of a customer of a segment, through views that cover a goal twice."""
+    """Every two parts of any order, in one order of a customer of a segment, through views that cover a goal twice."""
     engine = Engine(spark, pairs(spark, sf_dir, "part_order", "order_customer", "segment_customer"))
     query = QueryTemplate("worked", WORKED)
     chain = JoinTree.compose(CUSTOMER, "e", [(REL["order_customer"], JoinTree.edge(REL["part_order"], "k", "d"))])
     spec = ViewSpec(chain.add_leaf(0, REL["segment_customer"], "c"))
     engine.materialize(spec)
-    parts = relation(table(spark, sf_dir, "lineitem").where("l_orderkey <= 100"), "l_orderkey", "l_partkey")
+    parts = relation(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     asked = parts.alias("a").join(parts.alias("b"), "l").where("a.r < b.r").select(F.col("a.r").alias("k1"), F.col("b.r").alias("k2")).distinct()
     asked = asked.select("k1", "k2", F.explode(F.array(F.lit("HOUSEHOLD"), F.lit("BUILDING"))).alias("c"))
     return engine.run(find_covers(spec, query), asked)
@@ -290,10 +297,112 @@ def stream_counts(spark, sf_dir):
     return current(spark, f"{path}/rows")
 
 
+# -- sources, samples and the rest -------------------------------------------------
+CONFIG = '{"small": {"entities": {"document": 1000, "entity": 800, "category": 10}, "relations": [["document", "entity", 9944], ["entity", "category", 800]]}}'
+WEIGHTS = [3.0, 1.0, 4.0, 2.0]
+#: Least cost of ``_small_workload``; tests/test_plans.py finds it by trying every set of covers.
+SMALL_OPTIMUM = 105.039719
+
+
+def config_catalog(spark, sf_dir):
+    """Entities and relations of a JSON catalog at half its scale, as a table."""
+    entities, relations = load_config(CONFIG, "small", 0.5)
+    rows = [(e.name, None, float(e.card)) for e in entities.values()] + [(a, b, float(n)) for a, b, n in relations]
+    return spark.createDataFrame(rows, "left string, right string, size double")
+
+
+def text_lines(spark, sf_dir):
+    """Documents written as lines of a text file and read back as numbered documents."""
+    path = scratch_path(spark, "lines")
+    names = table(spark, sf_dir, "customer").select(F.concat_ws("|", F.col("c_custkey"), F.col("c_mktsegment")).alias("value"), "c_custkey")
+    names.orderBy("c_custkey").select("value").write.text(path)
+    return T.read_lines(spark, path).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def csv_appended(spark, sf_dir):
+    """Rows appended to a CSV folder in two goes and read back."""
+    path, nations = scratch_path(spark, "csv"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for part in (nations.where("n_regionkey < 2"), nations.where("n_regionkey >= 2")):
+        append_csv(part, path)
+    return spark.read.option("header", True).schema("n_nationkey long, n_name string, n_regionkey long").csv(path)
+
+
+def random_pairs(spark, sf_dir):
+    """What a random relation has to keep to: so many pairs, all inside both domains, no two domains alike."""
+    own = random_relation(spark, 50_000, 400, 30, seed=3)
+    return own.agg(F.count("*").alias("n"), F.min("l").alias("least_l"), F.max("l").alias("most_l"), F.min("r").alias("least_r"), F.max("r").alias("most_r"), F.count_distinct("l").alias("lefts"), F.count_distinct("r").alias("rights"))
+
+
+def tags_of_documents(spark, sf_dir):
+    """Tags put before every text and found in it."""
+    text = F.concat(F.lit("#lang{"), F.coalesce("lang", F.lit("-")), F.lit("} #from{"), F.coalesce("source", F.lit("-")), F.lit("} "), F.translate(F.coalesce("text", F.lit("")), "#", ""))
+    return T.tags(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
+def scan_ordered(spark, sf_dir):
+    return Navigator(counted(spark, sf_dir, "supplier_order").withColumnRenamed("l", "s"), ["s", "r"]).hold().scan(ordered=True)
+
+
+def cross_parts(spark, sf_dir):
+    """Instances that bind no node of the tree: each meets every assignment."""
+    engine = Engine(spark, pairs(spark, sf_dir, "nation_region"))
+    return engine.run_direct(QueryTemplate("all", JoinTree.edge(REL["nation_region"], "n", "region")), spark.createDataFrame([(0,), (1,)], "iid long"))
+
+
+def weights_normalised(spark, sf_dir):
+    return spark.createDataFrame([(k, round(w, 9)) for k, w in enumerate(T.normalise(WEIGHTS))], "k long, weight double")
+
+
+def multinomial_draws(spark, sf_dir):
+    """One of four classes for each customer, drawn by a number that follows from its key."""
+    u = F.pmod(F.col("c_custkey") * 7919, F.lit(10007)) / F.lit(10007.0)
+    return table(spark, sf_dir, "customer").select("c_custkey", sample_index(u, WEIGHTS).cast("long").alias("k"))
+
+
+def bound_views(spark, sf_dir):
+    """Views bucketed by their first column, bound after a check of their schema, and joined."""
+    engine = Engine(spark, pairs(spark, sf_dir, "part_order", "supplier_order", "order_customer"), buckets=8)
+    query = QueryTemplate("depth2", DEPTH2)
+    return engine.run(_wide_views(engine, query), instances(spark, BATCH))
+
+
+def cover_plan(spark, sf_dir):
+    """The covers of a query by its base relations: goal, relation, node below and node above."""
+    rows = [(min(c.goals), DEPTH2.relations[min(c.goals)].name, *(DEPTH2.nodes[q].name for q in c.mapping)) for c in base_covers(QueryTemplate("depth2", DEPTH2))]
+    return spark.createDataFrame(rows, "goal long, relation string, above string, below string")
+
+
+def stream_batches(spark, sf_dir):
+    """What the stream has written batch by batch, not merged: its counts, and that no batch holds a pair twice."""
+    schema = table(spark, sf_dir, "events").schema
+    path = scratch_path(spark, "stream")
+    append_stream(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet"), "user_id", "event_type", f"{path}/rows", f"{path}/log").awaitTermination()
+    own = unmerged(spark, f"{path}/rows")
+    return own.agg(F.sum("mult").alias("events"), F.count_distinct("l", "r").alias("pairs"), (F.count("*") - F.count_distinct("epoch", "l", "r")).alias("twice"))
+
+
+def search_optimum(spark, sf_dir):
+    """The cost the full search ends with, whatever it looks at first."""
+    rows = []
+    for pick in Pick:
+        result = Advisor(_small_workload(), CostParams(10, 100, 2**32 - 1, 0.1), max_depth=3).optimize(pick)
+        rows.append((pick.name, round(float(result.cost), 6)))
+    return spark.createDataFrame(rows, "pick string, cost double")
+
+
+def _small_workload() -> list[QueryTemplate]:
+    """Two templates over three relations, small enough for every set of covers to be tried."""
+    a, b, c, d = (Entity(n, card) for n, card in (("a", 100), ("b", 50), ("c", 20), ("d", 10)))
+    ab, bc, dc = Relation("ab", a, b, 3.0, 6.0), Relation("bc", b, c, 2.0, 5.0), Relation("dc", d, c, 4.0, 2.0)
+    chain = JoinTree.compose(c, "z", [(bc, JoinTree.edge(ab, "x", "y"))])
+    return [QueryTemplate("chain", chain, 0.7), QueryTemplate("fork", chain.add_leaf(0, dc, "w"), 0.3)]
+
+
 _QUERIES = (
     rel_mult, rel_invert, rel_merge, nav_scan, nav_lookup, nav_dump, nav_holes, semi_domain, set_diff, fanout, fanout_estimate, balance_scaled, inverted_index, rule_characters, kw2,
     tree_1edge, tree_2leaf, tree_depth2, tree_branch, tree_const_leaf, tree_selfjoin, user_type, instance, instance_absent, batch, view_rewrite, view_build, worked_rewriting,
-    advisor_design, designed_batch, expanded_states, stream_counts,
+    advisor_design, designed_batch, expanded_states, stream_counts, config_catalog, text_lines, csv_appended, random_pairs, tags_of_documents, scan_ordered,
+    cross_parts, weights_normalised, multinomial_draws, bound_views, cover_plan, stream_batches, search_optimum,
 )
 
 
@@ -340,8 +449,21 @@ def oracle_sql() -> dict[str, str]:
         "view_rewrite": _BATCH,
         "designed_batch": _BATCH,
         "view_build": f"select p, o, c from {_PO} join {_OC} using (o)",
-        "worked_rewriting": f"""with a as (select distinct x.l_partkey k1, y.l_partkey k2 from lineitem x join lineitem y using (l_orderkey) where l_orderkey <= 100 and x.l_partkey < y.l_partkey)
+        "worked_rewriting": f"""with a as (select distinct x.l_partkey k1, y.l_partkey k2 from lineitem x join lineitem y using (l_orderkey) where x.l_partkey < y.l_partkey)
             select x.c e, o d, k1, k2, c_mktsegment c from a join (select p k1, o from {_PO}) using (k1) join (select p k2, o from {_PO}) using (k2, o) join {_OC} x using (o)
             join customer on x.c = c_custkey where c_mktsegment in ('HOUSEHOLD', 'BUILDING')""",
+        "config_catalog": "select * from (values ('document', null, 500.0::double), ('entity', null, 400.0), ('category', null, 5.0), ('document', 'entity', 9944.0), ('entity', 'category', 800.0)) t(\"left\", \"right\", size)",
+        "text_lines": "select row_number() over (order by c_custkey) doc_id, len(t)::bigint n_chars, md5(t) text_md5 from (select c_custkey, c_custkey || '|' || c_mktsegment t from customer)",
+        "csv_appended": "select n_nationkey::bigint n_nationkey, n_name, n_regionkey::bigint n_regionkey from nation",
+        "random_pairs": "select 50000::bigint n, 0::bigint least_l, 399::bigint most_l, 0::bigint least_r, 29::bigint most_r, 400::bigint lefts, 30::bigint rights",
+        "tags_of_documents": "select doc_id d, 'lang' tag, coalesce(lang, '-') \"value\" from documents union all select doc_id, 'from', coalesce(source, '-') from documents",
+        "scan_ordered": "select distinct l_suppkey s from lineitem order by 1",
+        "cross_parts": "select iid, n_regionkey::bigint region, n_nationkey::bigint n from (values (0::bigint), (1::bigint)) i(iid), nation",
+        "weights_normalised": "select * from (values (0::bigint, 0.3::double), (1, 0.1), (2, 0.4), (3, 0.2)) t(k, weight)",
+        "multinomial_draws": "select c_custkey, case when u < 0.3 then 0 when u < 0.4 then 1 when u < 0.8 then 2 else 3 end::bigint k from (select c_custkey, (c_custkey * 7919 % 10007) / 10007.0::double u from customer)",
+        "bound_views": _BATCH,
+        "cover_plan": "select * from (values (2::bigint, 'part_order', 'o', 'p'), (3, 'supplier_order', 'o', 's'), (1, 'order_customer', 'c', 'o')) t(goal, relation, above, below)",
+        "stream_batches": "select count(*) events, count(distinct (user_id, event_type)) pairs, 0::bigint twice from events",
+        "search_optimum": "select * from (values ('LOWER', OPTIMUM::double), ('UPPER', OPTIMUM), ('OPEN', OPTIMUM)) t(pick, cost)".replace("OPTIMUM", str(SMALL_OPTIMUM)),
         "stream_counts": "select user_id l, event_type r, count(*) mult from events group by 1, 2",
     }

@@ -13,18 +13,19 @@ from treeline.model import Entity, Relation
 from treeline.sources.storage import scratch_path, write_table
 
 
-def relation(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs of two columns with how often each occurs; pairs with a null are no pairs.
-
-    An integer key is widened to long.  Empty input gives an empty relation.
-    """
+def raw_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Two columns as ``(l, r)``, repeated as they come; pairs with a null are no pairs, an integer key is widened to long."""
 
     def key(c: str):
         kind = dict(df.dtypes)[c]
         return F.col(c).cast("long") if kind in ("tinyint", "smallint", "int") else F.col(c)
 
-    pairs = df.select(key(left).alias("l"), key(right).alias("r")).where(F.col("l").isNotNull() & F.col("r").isNotNull())
-    return pairs.groupBy("l", "r").agg(F.count("*").alias("mult"))
+    return df.select(key(left).alias("l"), key(right).alias("r")).where(F.col("l").isNotNull() & F.col("r").isNotNull())
+
+
+def relation(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs of two columns with how often each occurs.  Empty input gives an empty relation."""
+    return raw_pairs(df, left, right).groupBy("l", "r").agg(F.count("*").alias("mult"))
 
 
 def invert(pairs: DataFrame) -> DataFrame:

@@ -73,9 +73,10 @@ def write_table(df: DataFrame, path: str, order: list[str] | None = None, mode:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> DataFrame:
-    """Bucketed and sorted by *keys*: later joins on them need no exchange on this side."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Bucketed by *keys* and sorted by *order* (default: the keys): later joins on them need no exchange on this side."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*(order or keys)).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

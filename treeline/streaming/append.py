@@ -21,3 +21,14 @@ def append_stream(stream: DataFrame, left: str, right: str, path: str, checkpoin
 def current(spark, path: str) -> DataFrame:
     """The relation so far: multiplicities add up over batches."""
     return spark.read.parquet(path).groupBy("l", "r").agg(F.sum("mult").alias("mult"))
+
+
+def unmerged(spark, path: str) -> DataFrame:
+    """``(epoch, l, r, mult)``: what each micro-batch wrote that :func:`compact` hasn't merged yet, batch 0 first."""
+    return spark.read.parquet(path).select(F.col("epoch").cast("long").alias("epoch"), "l", "r", "mult")
+
+
+def compact(spark, path: str, to: str) -> DataFrame:
+    """Merge all batches into one counted relation at *to*."""
+    current(spark, path).write.mode("overwrite").parquet(to)
+    return spark.read.parquet(to)
