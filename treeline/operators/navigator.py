@@ -59,5 +59,5 @@ def look_up(df: DataFrame, values: dict[str, Any]) -> DataFrame:
 def restrict(df: DataFrame, column: str, domain: DataFrame | list) -> DataFrame:
     """Rows whose *column* lies in *domain*: a short list, or a DataFrame of one column."""
     if isinstance(domain, DataFrame):
-        return df.join(domain.toDF(column).distinct(), column, "left_semi")
+        return df.join(domain.toDF(column), column, "left_semi")
     return df.where(F.col(column).isin(domain))

@@ -77,7 +77,8 @@ BATCH = [(0, 982, 22), (1, 1, 1), (2, 5, 7), (3, -1, 7)]
 
 
 def instances(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFrame:
-    return spark.createDataFrame(rows, "iid long, p long, s long")
+    """A literal batch, whose size the optimizer knows: it is broadcast as long as it is small."""
+    return spark.sql(f"select * from values {', '.join(f'({i}L, {p}L, {s}L)' for i, p, s in rows)} as t(iid, p, s)")
 
 
 def _wide_views(engine: Engine, query: QueryTemplate):
