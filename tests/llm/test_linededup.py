@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import duckdb
 
@@ -70,3 +71,44 @@ def test_pipeline_stage_removes_short_repeats_and_runs(spark):
     for _, text in rows:
         lines = text.split("\n")
         assert all(2 <= b - a <= linededup.MOST for a, b in chunks(lines)[:-1])
+
+
+def shuffled(spark, work):
+    """Bytes that the stages of *work* have written for other stages."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    work()
+    return total() - before
+
+
+def test_what_is_shuffled_does_not_hang_on_broadcasts(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{rng.random()}" for _ in range(12)) for _ in range(12)) for _ in range(400)]
+    rows = [(d, t if d % 4 else texts[1]) for d, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    work = lambda: dedup_lines(spark, docs).write.format("noop").mode("overwrite").save()
+    before, sizes = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    try:
+        for threshold in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            sizes.append(shuffled(spark, work))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 0 < sizes[1] < 2.5 * sizes[0], sizes
+
+
+def test_bytes_decide_where_hashes_clash(spark):
+    bodies = ["a b\nc d", "e f\ng h", "i j\nk l"]
+    rows = [(d, bodies[k]) for d, k in enumerate((1, 0, 1, 2, 0, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = lambda lines: [(0, len(lines))]
+    got = {r.doc_id: r.text for r in dedup_lines(spark, docs, whole, lambda body: b"same").collect()}
+    assert got == {0: bodies[1], 1: bodies[0], 2: "", 3: bodies[2], 4: bodies[0], 5: ""}
+    got = {r.doc_id: r.text for r in dedup_lines(spark, docs, whole).collect()}
+    assert got == {0: bodies[1], 1: bodies[0], 2: "", 3: bodies[2], 4: "", 5: ""}

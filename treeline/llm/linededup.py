@@ -34,6 +34,7 @@ MOST = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 LAST = (1 << 63) - 1
 Chunker = Callable[[list[str]], list[tuple[int, int]]]
+Digest = Callable[[str], bytes]
 
 
 def line_hash(line: str) -> int:
@@ -77,44 +78,82 @@ def is_candidate(lines: list[str]) -> bool:
     return len(lines) > 1 and sum(bool(WORD.search(x)) for x in lines) > 1
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], chunker: Chunker) -> Iterator[pa.RecordBatch]:
+def _hash(body: str) -> bytes:
+    return xxhash.xxh3_128_digest(body.encode("utf-8", "replace"))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], chunker: Chunker, digest: Digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [])
         for rank, key, text in zip(*(c.to_pylist() for c in batch.columns)):
             if text is None:
                 continue
             lines = text.split("\n")
             for n, (a, b) in enumerate(chunker(lines)):
                 if is_candidate(lines[a:b]):
+                    for column, v in zip(out, (digest("\n".join(lines[a:b])), rank, key, n)):
+                        column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32()))], ["hash", "rank", "key", "n"])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], chunker: Chunker, digest: Digest) -> Iterator[pa.RecordBatch]:
+    """Rows (rank, key, text, cuts, heads): the chunks that *cuts* and *heads* number, with their bytes."""
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for rank, key, text, cuts, heads in zip(*(c.to_pylist() for c in batch.columns)):
+            lines, cuts, heads = text.split("\n"), set(cuts), set(heads)
+            for n, (a, b) in enumerate(chunker(lines)):
+                if n in cuts or n in heads:
                     body = "\n".join(lines[a:b])
-                    for column, v in zip(out, (xxhash.xxh3_128_digest(body.encode("utf-8", "replace")), rank, key, n, body)):
+                    for column, v in zip(out, (digest(body), rank, key, n, n in heads, body)):
                         column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], ["hash", "rank", "key", "n", "body"])
+        types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["hash", "rank", "key", "n", "is_first", "body"])
 
 
-def repeated_chunks(spark: SparkSession, docs: DataFrame, chunker: Chunker = chunks) -> DataFrame:
-    """``rank`` (doc_id, null last), ``key`` (of the text) and ``cuts``: the numbers of the chunks to remove."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
-    found = stage(spark, rows.mapInArrow(lambda batches: _candidates(batches, chunker), "hash binary, rank long, key long, n int, body string"), "line-chunks")
+def repeated_chunks(spark: SparkSession, rows: DataFrame, chunker: Chunker = chunks, digest: Digest = _hash) -> DataFrame:
+    """``rank`` (doc_id, null last), ``key`` (of the text), ``cuts`` and ``heads``: the numbers of the chunks whose hash came
+    before, and of the chunks that are the first of those.  *rows* has rank, key and text."""
+    found = stage(spark, rows.mapInArrow(lambda batches: _candidates(batches, chunker, digest), "hash binary, rank long, key long, n int"), "line-chunks")
     place = F.struct("rank", "key", "n")
     firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("hash", "first")
-    # Both small sides are tables, so that a frequent chunk's rows are split over tasks of the joins.
+    # A table, so that a frequent chunk's rows are split over tasks of the join.
     firsts = stage(spark, firsts, "line-firsts")
-    repeats = stage(spark, found.join(firsts, "hash").withColumn("is_first", place == F.col("first")).drop("first"), "line-repeats")
+    repeats = found.join(firsts, "hash").select("rank", "key", "n", (place == F.col("first")).alias("is_first"))
+    marks = repeats.groupBy("rank", "key").agg(F.collect_set(F.expr("case when not is_first then n end")).alias("cuts"), F.collect_set(F.expr("case when is_first then n end")).alias("heads"))
+    out = stage(spark, marks, "line-marks")
     drop(spark, found, firsts)
+    return out
+
+
+def differing_chunks(spark: SparkSession, marked: DataFrame, chunker: Chunker = chunks, digest: Digest = _hash) -> DataFrame:
+    """``rank``, ``key`` and ``spared``: the numbers of those *cuts* whose bytes are not the first's.  *marked* has rank, key, text, cuts and heads."""
+    asked = marked.where("text is not null and (size(cuts) > 0 or size(heads) > 0)")
+    schema = "hash binary, rank long, key long, n int, is_first boolean, body string"
+    repeats = stage(spark, asked.mapInArrow(lambda batches: _bodies(batches, chunker, digest), schema), "line-repeats")
     heads = stage(spark, repeats.where("is_first").groupBy("hash").agg(F.min("body").alias("first_body")), "line-heads")
-    same = repeats.where("not is_first").join(heads, "hash").where("body = first_body")
-    return same.groupBy("rank", "key").agg(F.collect_set("n").alias("cuts"))
+    other = repeats.where("not is_first").join(heads, "hash").where("body <> first_body")
+    out = stage(spark, other.groupBy("rank", "key").agg(F.collect_set("n").alias("spared")), "line-spared")
+    drop(spark, repeats, heads)
+    return out
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, chunker: Chunker = chunks) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, chunker: Chunker = chunks, digest: Digest = _hash) -> DataFrame:
     """*docs* with repeated chunks removed from text, and n_lines and n_removed at the end
-    (underscores go before these names where *docs* has them)."""
+    (underscores go before these names where *docs* has them).
+
+    Hashes alone decide which chunks are looked at, so texts are dealt once, to meet their marks, by a plan that doesn't hang on
+    the size of the tables; from there only the bytes of repeated chunks go on."""
     prepare(spark)
-    cuts = stage(spark, repeated_chunks(spark, docs, chunker), "line-cuts")
-    rank, key, col = (fresh(docs, x) for x in ("_rank", "_key", "_cuts"))
+    rank, key, cuts, heads, spared = (fresh(docs, x) for x in ("_rank", "_key", "_cuts", "_heads", "_spared"))
     keyed = docs.withColumns({rank: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), key: text_key()})
-    joined = keyed.join(cuts.toDF(rank, key, col), [rank, key], "left").select(*docs.columns, col)
+    marks = repeated_chunks(spark, keyed.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.col("text").cast("string").alias("text")), chunker, digest)
+    marked = stage(spark, keyed.join(marks.toDF(rank, key, cuts, heads).hint("merge"), [rank, key], "left"), "line-marked")
+    drop(spark, marks)
+    own = marked.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.col("text").cast("string").alias("text"), F.col(cuts).alias("cuts"), F.col(heads).alias("heads"))
+    other = differing_chunks(spark, own, chunker, digest)
+    gone = F.when(F.col(spared).isNull(), F.col(cuts)).otherwise(F.array_except(cuts, spared)).alias(cuts)
+    joined = marked.join(other.toDF(rank, key, spared), [rank, key], "left").select(*docs.columns, gone)
     at, names = docs.columns.index("text"), [fresh(docs, "n_lines"), fresh(docs, "n_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
