@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from treeline.llm import neardup
 
@@ -88,3 +91,45 @@ def test_large_buckets_of_several_components(spark):
     assert 100 < len(want) < 200
     for small, part in ((8, 2048), (8, 16), (1, 7)):
         assert {r.doc_id for r in neardup.keep_one(spark, docs, small, part).collect()} == want
+
+
+def near_codes(rng, n, groups):
+    """Fingerprints some of which are close to each other."""
+    heads = rng.integers(0, 1 << 64, groups, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 12), dtype=np.uint64), axis=1)
+    return heads[rng.integers(0, groups, n)] ^ flips
+
+
+def test_gray_index_finds_the_pairs_of_buckets_and_parts(monkeypatch):
+    """Both kinds of buckets ask the Gray-order index, within a bucket and across two parts; brute force agrees."""
+    asked = []
+
+    class Index(neardup.GrayIndex):
+        def links(self, radius, across=False):
+            asked.append(across)
+            return super().links(radius, across=across)
+
+    monkeypatch.setattr(neardup, "GrayIndex", Index)
+    rng = np.random.default_rng(8)
+    fps, sizes, buckets = near_codes(rng, 700, 9), rng.integers(50, 70, 700), np.sort(rng.integers(0, 90, 700))
+    near = lambda i, j: int(fps[i] ^ fps[j]).bit_count() <= neardup.RADIUS and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])
+    want = {(i, j) for i in range(700) for j in range(i + 1, 700) if buckets[i] == buckets[j] and near(i, j)}
+    a, b = neardup._bucket_pairs(buckets, np.arange(700), fps.view(np.int64), sizes)
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) == len(a) > 50 and asked == [False]
+    # Parts: all have 40 of 50 shingles in common or more, so those within the radius are linked, and only they.
+    hashes = [np.sort(np.concatenate([np.arange(48), 100 + 2 * i + np.arange(2)])).astype("<u8").tobytes() for i in range(60)]
+    fps = near_codes(rng, 60, 4)
+    for low, high in ((0, 1), (2, 2)):
+        side = np.array([low, high])[np.arange(60) % 2]
+        table = pa.table({"band": [0] * 60, "key": [0] * 60, "low": [low] * 60, "high": [high] * 60, "part": side, "node": range(60), "fp": fps.view(np.int64), "n": [50] * 60, "root": range(60), "keys": [[0]] * 60, "hashes": hashes})
+        own = list(range(60))
+        for x, y in neardup._part_links(table):
+            assert int(fps[x] ^ fps[y]).bit_count() <= neardup.RADIUS and (low == high or side[x] != side[y])
+            own = [own[x] if o == own[y] else o for o in own]
+        group = list(range(60))
+        for i in range(60):
+            for j in range(60):
+                if i != j and (low == high or side[i] != side[j]) and int(fps[i] ^ fps[j]).bit_count() <= neardup.RADIUS:
+                    group = [group[i] if g == group[j] else g for g in group]
+        assert len(set(zip(own, group))) == len(set(own)) == len(set(group)) < 60
+    assert asked == [False, True, False]

@@ -3,7 +3,8 @@
 A 64-bit SimHash of texts at similarity 0.8 differs in some ten bits, up to twenty, too many for blocks of
 bits that agree.  Buckets are therefore bands of a MinHash signature: ``BANDS`` keys of ``ROWS`` minima each, one
 of which two texts at similarity s share with probability ``1 - (1 - s ** ROWS) ** BANDS`` (0.9998 at 0.8).
-Pairs beyond ``RADIUS`` bits of their SimHash or of too different sizes are left out.  The members of all buckets of over ``SMALL``
+Inside a small bucket, and between two parts of a large one, the Gray-order index (:class:`GrayIndex`) finds the pairs within
+``RADIUS`` bits of their SimHash; those of too different sizes are left out.  The members of all buckets of over ``SMALL``
 are sorted by Gray rank, which every band turns by other bits, and dealt by ranges of that order; each first meets only the one before it
 (where a range begins, none) and the bucket's first.  One candidate a text is verified first; of
 the others only those that would still join two components are.  That makes one component of most large buckets. In those
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.common import drop, fresh, prepare, stage
 from treeline.llm.components import components, keep_first
+from treeline.llm.simhash import GrayIndex, starts
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
@@ -81,18 +83,30 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))], ["row", "node", "fp", "n", "keys"])
 
 
-def _pairs(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of one small bucket, lesser node first."""
-    x, y = np.triu_indices(len(nodes), 1)
-    ok = _near(fps[x], fps[y], sizes[x], sizes[y])
-    a, b = nodes[x[ok]], nodes[y[ok]]
-    return np.minimum(a, b), np.maximum(a, b)
+def _bucket_pairs(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of whole small buckets by their Gray-order index, lesser node first; *bucket* is sorted."""
+    begun = starts(bucket)
+    sizes = np.diff(np.append(begun, len(bucket)))
+    several = np.repeat(sizes > 1, sizes)
+    found = [(node[:0], node[:0])]
+    if several.any():
+        node, n, index = node[several], n[several], GrayIndex(bucket[several], fp[several].view(np.uint64))
+        for x, y in index.links(RADIUS):
+            x, y = index.order[x], index.order[y]
+            ok = _like_sizes(n[x], n[y])
+            found.append((np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]))
+    a, b = (np.concatenate(side) for side in zip(*found))
+    return a, b
+
+
+def _like_sizes(size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs can be similar, by their numbers of shingles."""
+    return SIMILAR[1] * np.minimum(size, other) >= SIMILAR[0] * np.maximum(size, other)
 
 
 def _near(fp: np.ndarray, other: np.ndarray, size: np.ndarray, other_size: np.ndarray) -> np.ndarray:
     """Which pairs can be similar at all, by SimHash and number of shingles."""
-    less, more = np.minimum(size, other_size), np.maximum(size, other_size)
-    return (np.bitwise_count(fp ^ other) <= RADIUS) & (SIMILAR[1] * less >= SIMILAR[0] * more)
+    return (np.bitwise_count(fp ^ other) <= RADIUS) & _like_sizes(size, other_size)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +115,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pieces(table: pa.Table, last: bool):
         band, key, node, fp, n = (table.column(k).to_numpy() for k in range(5))
         edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
-        ends = np.append(edges[1:], len(key))
-        found = [_pairs(node[s:e], fp[s:e].view(np.uint64), n[s:e]) for s, e in zip(edges.tolist(), ends.tolist()) if e - s > 1 and (e < len(key) or last)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], ["a", "b"])
-        return table.slice(int(edges[-1]))
+        whole = len(key) if last else int(edges[-1])
+        bucket = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(key))))
+        a, b = _bucket_pairs(bucket[:whole], node[:whole], fp[:whole], n[:whole])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return table.slice(whole)
 
     held: pa.Table | None = None
     for batch in batches:
@@ -165,13 +180,23 @@ def _part_links(part: pa.Table) -> Iterator[tuple[int, int]]:
     left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
     if not len(left) or not len(right):
         return
+    # The Gray-order index of the part, or of both, finds which pairs are within the radius.
+    near = np.zeros((len(left), len(right)), bool)
+    both = left if low == high else np.concatenate([left, right])
+    index = GrayIndex(np.repeat([0, 1], [len(left), len(both) - len(left)]), fp[both])
+    for x, y in index.links(RADIUS, across=low != high):
+        x, y = index.order[x], index.order[y]
+        if low == high:
+            near[x, y] = near[y, x] = True
+        else:
+            near[x, y - len(left)] = True
     sets = [np.frombuffer(x, "<u8") for x in part.column("hashes").to_pylist()]
     # Postings of the right part: which members hold each shingle.
     shingles, number = np.unique(np.concatenate([sets[j] for j in right]), return_inverse=True)
     holder = np.repeat(np.arange(len(right)), n[right])[np.argsort(number, kind="stable")]
     begun = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(shingles)))])
-    for i in left.tolist():
-        open_ = (root[right] != root[i]) & _near(fp[i], fp[right], n[i], n[right])
+    for at_left, i in enumerate(left.tolist()):
+        open_ = (root[right] != root[i]) & near[at_left] & _like_sizes(n[i], n[right])
         # A pair that shares an earlier band has been a candidate there.
         open_ &= ~(keys[right, :band] == keys[i, :band]).any(axis=1)
         if not open_.any():

@@ -76,22 +76,22 @@ def bit_count(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
+def starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
 class GrayIndex:
-    """Hierarchical index of several buckets of fingerprints; *bucket* is sorted."""
+    """Hierarchical index of several buckets of fingerprints; *bucket* is sorted.  ``order`` has the given places of ``fps``."""
 
     def __init__(self, bucket: np.ndarray, fps: np.ndarray):
-        order = np.lexsort((gray_rank(fps), bucket))
+        self.order = order = np.lexsort((gray_rank(fps), bucket))
         self.fps, bucket = fps[order], bucket[order]
         # Level 0 are the fingerprints: all bits fixed.  (mask, pattern, first child, end of children, bucket)
         full = np.full(len(fps), ~np.uint64(0))
         self.levels = [(full, self.fps, None, None)]
         while True:
             mask, pattern, _, _ = self.levels[-1]
-            begun = _starts(bucket)
+            begun = starts(bucket)
             at = np.arange(len(bucket)) - np.repeat(begun, np.diff(np.append(begun, len(bucket))))
             heads = np.flatnonzero(at % FANOUT == 0)
             ends = np.append(heads[1:], len(bucket))
@@ -99,13 +99,14 @@ class GrayIndex:
             zeros = np.bitwise_and.reduceat(mask & ~pattern, heads)
             self.levels.append((ones | zeros, ones, heads, ends))
             bucket = bucket[heads]
-            if len(_starts(bucket)) == len(bucket):
+            if len(starts(bucket)) == len(bucket):
                 break
 
-    def links(self, radius: int = RADIUS, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions in ``self.fps`` of one bucket within *radius*, in pieces of bounded size."""
+    def links(self, radius: int = RADIUS, most: int = 1 << 18, across: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions in ``self.fps`` of one bucket within *radius*, in pieces of bounded size;
+        or, *across*, pairs of one position in the first bucket and one in the second."""
         roots = np.arange(len(self.levels[-1][0]))
-        stack = [(len(self.levels) - 1, roots, roots)]
+        stack = [(len(self.levels) - 1, *((roots[:1], roots[1:2]) if across else (roots, roots)))]
         while stack:
             level, a, b = stack.pop()
             if len(a) > most // FANOUT:
@@ -173,7 +174,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def index(keys: np.ndarray, fps: np.ndarray):
         # A bucket of one has no pair in it.
-        begun = _starts(keys)
+        begun = starts(keys)
         sizes = np.repeat(np.diff(np.append(begun, len(keys))), np.diff(np.append(begun, len(keys))))
         keys, fps = keys[sizes > 1], fps[sizes > 1]
         if len(keys):
