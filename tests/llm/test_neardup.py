@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 import corpus_pipeline
 from treeline.llm import neardup
@@ -133,3 +134,52 @@ def test_gray_index_finds_the_pairs_of_buckets_and_parts(monkeypatch):
                     group = [group[i] if g == group[j] else g for g in group]
         assert len(set(zip(own, group))) == len(set(own)) == len(set(group)) < 60
     assert asked == [False, True, False]
+
+
+def test_buckets_cut_by_ranges_lose_no_pair():
+    """Small buckets are compared in full wherever ranges and batches are cut; large ones get at most two pairs a member and a few a range."""
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate([rng.integers(1, 9, 120), [300, 40, 9]])
+    n, bucket = int(sizes.sum()), np.repeat(rng.permutation(len(sizes)), sizes)
+    fps = near_codes(rng, n, 3)
+    order = sorted(range(n), key=lambda i: (bucket[i] % 4, bucket[i]))
+    columns = {"band": pa.array(bucket[order] % 4, pa.int32()), "key": pa.array(bucket[order]), "node": pa.array(order, pa.int64()), "fp": fps[order].view(np.int64), "n": pa.array(np.full(n, 50))}
+    table, count = pa.table(columns), np.bincount(bucket)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if bucket[i] == bucket[j] and count[bucket[i]] <= 8 and int(fps[i] ^ fps[j]).bit_count() <= neardup.RADIUS}
+    assert len(want) > 100
+    for cuts, rows, most in ((0, 50, 1 << 16), (7, 11, 20), (60, 3, 5), (n - 1, 1, 4)):
+        at = [0, *sorted(rng.choice(np.arange(1, n), cuts, replace=False).tolist()), n]
+        met = [y for a, b in zip(at, at[1:]) for y in neardup._candidates(iter(table.slice(a, b - a).to_batches(max_chunksize=rows)), 8, most)]
+        met = pa.Table.from_batches(met, neardup.MET)
+        cut = met.filter(pc.is_valid(met["band"])).select(["band", "key", "node", "fp", "n", "many"]).sort_by([("band", "ascending"), ("key", "ascending")])
+        pairs = [met.filter(pc.is_valid(met["a"])).select(["a", "b"]), *(pa.table(x) for x in neardup._cut_candidates(iter(cut.to_batches()), 8))]
+        got = {(a, b) for t in pairs for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist())}
+        assert {p for p in got if count[bucket[p[0]]] <= 8} == want
+        assert all(a < b and bucket[a] == bucket[b] and int(fps[a] ^ fps[b]).bit_count() <= neardup.RADIUS for a, b in got)
+        assert len(got - want) <= 2 * 349 + 36 * 4 * (cuts + 1)
+
+
+def test_no_join_lists_the_members_of_large_buckets(spark):
+    """Near copies of one text share most buckets: joins by bucket must not make rows for each of them."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(150)]
+    docs = spark.createDataFrame([(d, edited(rng, words, 2), "en", "a", 1) for d in range(300)], SCHEMA)
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def made():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found, runs = {}, store.executionsList()
+        for i in range(runs.size()):
+            key = runs.apply(i).executionId()
+            nodes, values = store.planGraph(key).allNodes(), store.executionMetrics(key)
+            for j in range(nodes.size()):
+                node = nodes.apply(j)
+                for k in range(node.metrics().size()) if "Join" in node.name() and "band" in node.desc() else ():
+                    metric = node.metrics().apply(k)
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        found[key, j] = int(values.apply(metric.accumulatorId()).replace(",", ""))
+        return found
+
+    before = set(made())
+    assert neardup.keep_one(spark, docs).count() == 1
+    assert sum(v for k, v in made().items() if k not in before) < 300

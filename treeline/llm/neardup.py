@@ -4,9 +4,9 @@ A 64-bit SimHash of texts at similarity 0.8 differs in some ten bits, up to twen
 bits that agree.  Buckets are therefore bands of a MinHash signature: ``BANDS`` keys of ``ROWS`` minima each, one
 of which two texts at similarity s share with probability ``1 - (1 - s ** ROWS) ** BANDS`` (0.9998 at 0.8).
 Inside a small bucket, and between two parts of a large one, the Gray-order index (:class:`GrayIndex`) finds the pairs within
-``RADIUS`` bits of their SimHash; those of too different sizes are left out.  The members of all buckets of over ``SMALL``
-are sorted by Gray rank, which every band turns by other bits, and dealt by ranges of that order; each first meets only the one before it
-(where a range begins, none) and the bucket's first.  One candidate a text is verified first; of
+``RADIUS`` bits of their SimHash; those of too different sizes are left out.  The members of all buckets
+are sorted by Gray rank, which every band turns by other bits, and dealt by ranges of that order; in a bucket of over ``SMALL`` each first meets only
+the one before it and the first of its range.  One candidate a text is verified first; of
 the others only those that would still join two components are.  That makes one component of most large buckets. In those
 that still hold several, all pairs of members of different components are compared (:func:`open_links`), so no link is lost.
 
@@ -93,7 +93,7 @@ def _bucket_pairs(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.nd
         node, n, index = node[several], n[several], GrayIndex(bucket[several], fp[several].view(np.uint64))
         for x, y in index.links(RADIUS):
             x, y = index.order[x], index.order[y]
-            ok = _like_sizes(n[x], n[y])
+            ok = _like_sizes(n[x], n[y]) & (node[x] != node[y])
             found.append((np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]))
     a, b = (np.concatenate(side) for side in zip(*found))
     return a, b
@@ -109,41 +109,80 @@ def _near(fp: np.ndarray, other: np.ndarray, size: np.ndarray, other_size: np.nd
     return (np.bitwise_count(fp ^ other) <= RADIUS) & _like_sizes(size, other_size)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, key, node, fp, n) of small buckets, sorted by band and key; the last bucket waits for more."""
+def _chain_pairs(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of large buckets, or of ranges of them, in Gray order: each member with the first and the one before, lesser node first."""
+    begun = starts(bucket)
+    first, at = np.repeat(begun, np.diff(np.append(begun, len(bucket)))), np.arange(len(bucket))
+    x, y = np.concatenate([first[at > first], at[at > first] - 1]), np.tile(at[at > first], 2)
+    fp = fp.view(np.uint64)
+    ok = _near(fp[x], fp[y], n[x], n[y]) & (node[x] != node[y])
+    x, y = node[x[ok]], node[y[ok]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+#: Columns of what :func:`_candidates` yields: pairs (the rest null), or members of buckets that may go on in other ranges (a and b null).
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("many", pa.bool_())])
+#: A task holds on to about so many rows; of a bucket that is larger still, to the last row.
+HELD = 1 << 16
+
 
-    def pieces(table: pa.Table, last: bool):
+def _candidates(batches: Iterator[pa.RecordBatch], small: int, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """One range of the rows (band, key, node, fp, n), sorted by band, key and Gray order.
+
+    The range's first and last bucket may have members in other ranges: of these all members, if they are at most *small*, or else the first one,
+    are handed on to :func:`_cut_candidates`."""
+    held: list[pa.RecordBatch] = []
+    rows, opening, most = 0, None, max(most, small + 1)
+
+    def met(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows, opening
+        table = pa.Table.from_batches(held).combine_chunks()
         band, key, node, fp, n = (table.column(k).to_numpy() for k in range(5))
         edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
-        whole = len(key) if last else int(edges[-1])
-        bucket = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(key))))
-        a, b = _bucket_pairs(bucket[:whole], node[:whole], fp[:whole], n[:whole])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        return table.slice(whole)
+        opening = opening or (band[0], key[0])
+        whole = rest = len(key) if last else int(edges[-1])
+        if not whole:
+            if len(key) < most:
+                return
+            whole, rest = len(key), len(key) - 1
+        edges = edges[edges < whole]
+        sizes = np.diff(np.append(edges, whole))
+        end = (band[edges] == opening[0]) & (key[edges] == opening[1])
+        end[-1] |= last
+        bucket, large, cut = np.repeat(np.arange(len(edges)), sizes), np.repeat(sizes > small, sizes), np.repeat(end, sizes)
+        for rule, these in ((_bucket_pairs, ~large & ~cut), (_chain_pairs, large)):
+            own = np.flatnonzero(these)
+            a, b = rule(bucket[own], node[own], fp[own], n[own])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), f.type) for f in list(MET)[2:])], schema=MET)
+        on = np.concatenate([np.flatnonzero(cut & ~large), edges[end & (sizes > small)]])
+        if len(on):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(on), pa.int64()) for _ in "ab"), *(pa.array(x[on], f.type) for x, f in zip((band, key, node, fp, n, large), list(MET)[2:]))], schema=MET)
+        held, rows = table.slice(rest).to_batches(), len(key) - rest
 
-    held: pa.Table | None = None
     for batch in batches:
         if batch.num_rows:
-            table = pa.Table.from_batches([batch])
-            held = yield from pieces((pa.concat_tables([held, table]) if held is not None else table).combine_chunks(), False)
-    if held is not None:
-        yield from pieces(held.combine_chunks(), True)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield from met(False)
+    if rows:
+        yield from met(True)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, key, node, fp, n) of large buckets in Gray order: each with the row before, of which alone a task holds on to."""
-    before: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        both = pa.Table.from_batches([before, batch] if before is not None else [batch]).combine_chunks()
-        band, key, node, fp, n = (both.column(k).to_numpy() for k in range(5))
-        fp = fp.view(np.uint64)
-        ok = (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & _near(fp[1:], fp[:-1], n[1:], n[:-1])
-        x, y = node[:-1][ok], node[1:][ok]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-        before = batch.slice(batch.num_rows - 1)
+def _cut_candidates(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    """Rows (band, key, node, fp, n, many) that :func:`_candidates` has handed on, sorted alike: at most a few a range, and whole buckets."""
+    held = [x for x in batches if x.num_rows]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        band, key, node, fp, n, many = (table.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
+        sizes = np.diff(np.append(edges, len(key)))
+        bucket, large = np.repeat(np.arange(len(edges)), sizes), np.repeat((sizes > small) | np.logical_or.reduceat(many, edges), sizes)
+        for rule, these in ((_bucket_pairs, ~large), (_chain_pairs, large)):
+            own = np.flatnonzero(these)
+            a, b = rule(bucket[own], node[own], fp[own], n[own])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _gray_place() -> Column:
@@ -154,22 +193,21 @@ def _gray_place() -> Column:
     return rank.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def candidates(firsts: DataFrame, large: DataFrame) -> DataFrame:
-    """``(a, b)``, lesser node first: all near pairs of small buckets; of *large* ones each member with the first and the one before.
+def candidates(spark: SparkSession, firsts: DataFrame, small: int = SMALL) -> DataFrame:
+    """``(a, b)``, lesser node first: all near pairs of small buckets; of large ones each member with the first of its range and the one before.
 
-    Small buckets go to a task each; the members of large ones are dealt by ranges, so no bucket is one task's.
-    """
+    All members are dealt by ranges of bucket and Gray order, so no bucket is one task's, and none has to be joined with what is known of it.
+    Buckets that lie in several ranges are put together from a few members a range."""
     keyed = firsts.select("node", "fp", "n", F.posexplode("keys").alias("band", "key")).select("band", "key", "node", "fp", "n")
-    small = keyed.join(large, ["band", "key"], "left_anti").repartition("band", "key").sortWithinPartitions("band", "key")
-    many = keyed.join(large.select("band", "key", "first"), ["band", "key"])
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp")))
-    less, more = F.least("n", "first.n"), F.greatest("n", "first.n")
-    led = many.where((F.col("node") != F.col("first.node")) & (bits <= RADIUS) & (SIMILAR[1] * less >= SIMILAR[0] * more))
-    led = led.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
-    ranked = many.select("band", "key", "node", "fp", "n", _gray_place().alias("place"))
-    ranked = ranked.repartitionByRange("band", "key", "place").sortWithinPartitions("band", "key", "place", "node").drop("place")
-    found = small.mapInArrow(_candidates, "a long, b long").union(led).union(ranked.mapInArrow(_neighbours, "a long, b long"))
-    return found.distinct()
+    order = ["band", "key", "place", "node"]
+    ranked = keyed.withColumn("place", _gray_place()).repartitionByRange(*order).sortWithinPartitions(*order).drop("place")
+    met = stage(spark, ranked.mapInArrow(lambda batches: _candidates(batches, small), "a long, b long, band int, key long, node long, fp long, n long, many boolean"), "near-met")
+    cut = met.where("band is not null").select("band", "key", "node", "fp", "n", "many").withColumn("place", _gray_place())
+    cut = cut.repartition("band", "key").sortWithinPartitions(*order).drop("place")
+    found = met.where("band is null").select("a", "b").union(cut.mapInArrow(lambda batches: _cut_candidates(batches, small), "a long, b long"))
+    out = stage(spark, found.distinct(), "near-candidates")
+    drop(spark, met)
+    return out
 
 
 def _part_links(part: pa.Table) -> Iterator[tuple[int, int]]:
@@ -243,7 +281,7 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
 
-def _parts(spark: SparkSession, members: DataFrame, large: DataFrame, part: int) -> tuple[DataFrame, list[DataFrame]]:
+def _parts(spark: SparkSession, members: DataFrame, mixed: DataFrame, part: int) -> tuple[DataFrame, list[DataFrame]]:
     """*members* with ``part``, their own part of the bucket, and ``others``, the parts to compare it with; and the staged tables it reads.
 
     A component of more than a part has parts of its own, which aren't compared with each other; the rest of a bucket is dealt by
@@ -257,7 +295,7 @@ def _parts(spark: SparkSession, members: DataFrame, large: DataFrame, part: int)
     groups = members.groupBy(*bucket, "root").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     groups = groups.where((F.col("c") > part) | (F.col("t") > PART_SHINGLES)).withColumn("own", count("c", "t"))
     sums = groups.groupBy(*bucket).agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("own").alias("pure"))
-    sizes = members.select(*bucket).distinct().join(large.select(*bucket, "m", "total"), bucket).join(sums, bucket, "left").na.fill(0, ["c", "t", "pure"])
+    sizes = mixed.join(sums, bucket, "left").na.fill(0, ["c", "t", "pure"])
     sizes = sizes.withColumn("m", F.col("m") - F.col("c")).withColumn("total", F.col("total") - F.col("t")).withColumn("rest", count("m", "total"))
     sizes = sizes.select(*bucket, "rest", (F.col("rest") + F.col("pure")).cast("int").alias("parts"))
     # A bucket has at most a row here for every *part* members.
@@ -274,25 +312,28 @@ def _parts(spark: SparkSession, members: DataFrame, large: DataFrame, part: int)
     return dealt.withColumn("part", part_of).withColumn("others", others), [groups, sizes]
 
 
-def open_links(spark: SparkSession, rows: DataFrame, firsts: DataFrame, large: DataFrame, roots: DataFrame, part: int = PART) -> DataFrame:
-    """``(a, b)``: links between different components (*roots*) that share a *large* bucket, no more than join these.
+def open_links(spark: SparkSession, rows: DataFrame, firsts: DataFrame, roots: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
+    """``(a, b)``: links between different components (*roots*) that share a bucket of over *small*, no more than join these.
 
-    A bucket's members are dealt into parts of bounded size; every two parts that differ in components are compared by a task's
+    Which buckets hold several components is a sum over their members; only the members of these are listed.  They are dealt into
+    parts of bounded size; every two parts that differ in components are compared by a task's index and
     postings of shingles, so what is written are links, not pairs."""
-    keyed = firsts.select("node", "fp", "n", "keys", F.posexplode("keys").alias("band", "key"))
-    members = keyed.join(large.select("band", "key"), ["band", "key"]).join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = stage(spark, members, "near-members")
-    mixed = stage(spark, members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key"), "near-mixed")
-    members = members.join(mixed, ["band", "key"])
-    asked = stage(spark, members.select("node").distinct(), "near-asked")
-    texts = rows.join(firsts.join(asked, "node").select("node", "row"), "row").select("node", "text")
+    bucket = ["band", "key"]
+    named = stage(spark, firsts.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-named")
+    keyed = named.select("node", "n", "root", F.posexplode("keys").alias(*bucket))
+    sums = keyed.groupBy(*bucket).agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = stage(spark, sums.where((F.col("m") > small) & (F.col("least") != F.col("most"))).select(*bucket, "m", "total"), "near-mixed")
+    places = stage(spark, keyed.select(*bucket, "node").join(mixed.select(*bucket), bucket), "near-places")
+    asked = stage(spark, named.join(places.select("node").distinct(), "node"), "near-asked")
+    members = stage(spark, places.join(asked.select("node", "fp", "n", "root", "keys"), "node"), "near-members")
+    texts = rows.join(asked.select("node", "row"), "row").select("node", "text")
     hashes = stage(spark, texts.mapInArrow(_hash_rows, "node long, hashes binary"), "near-hashes")
-    dealt, tables = _parts(spark, members, large, part)
+    dealt, tables = _parts(spark, members, mixed, part)
     dealt = dealt.withColumn("other", F.explode("others")).join(hashes, "node")
     dealt = dealt.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "fp", "n", "root", "keys", "hashes")
     dealt = dealt.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high")
     out = stage(spark, dealt.mapInArrow(_open_links, "a long, b long").distinct(), "near-open")
-    drop(spark, members, mixed, asked, hashes, *tables)
+    drop(spark, named, places, members, mixed, asked, hashes, *tables)
     return out
 
 
@@ -310,10 +351,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(spark: SparkSession, rows: DataFrame, signed: DataFrame, small: int = SMALL, part: int = PART) -> DataFrame:
     """``(node, root)`` of all linked nodes; *rows* has row and text, *signed* row, node, fp, n and keys."""
     firsts = stage(spark, signed.groupBy("node", "fp", "n").agg(F.min("row").alias("row"), F.min("keys").alias("keys")), "near-nodes")
-    keyed = firsts.select("node", "fp", "n", F.posexplode("keys").alias("band", "key"))
-    large = keyed.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min(F.struct("node", "fp", "n")).alias("first"))
-    large = stage(spark, large.where(F.col("m") > small), "near-large")
-    found = stage(spark, candidates(firsts, large), "near-candidates")
+    found = candidates(spark, firsts, small)
 
     def verified(edges: DataFrame, name: str) -> DataFrame:
         asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -332,11 +370,11 @@ def links(spark: SparkSession, rows: DataFrame, signed: DataFrame, small: int =
     more = verified(left, "near-more")
     drop(spark, roots, found, one, left)
     roots = components(spark, good.union(more))
-    rest = open_links(spark, rows, firsts, large, roots, part)
+    rest = open_links(spark, rows, firsts, roots, small, part)
     if not rest.isEmpty():
         drop(spark, roots)
         roots = components(spark, good.union(more).union(rest))
-    drop(spark, firsts, large, good, more, rest)
+    drop(spark, firsts, good, more, rest)
     return roots
 
 
