@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,3 +23,31 @@ def test_real_texts_with_a_small_cache(monkeypatch, sf_dir):
     texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
     for text, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, own.dtype).tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
+class Counting:
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, part):
+        self.asked.append(part)
+        return self.model.tokenize(part)
+
+
+def test_a_batch_asks_for_a_word_once_whatever_the_cache_holds(monkeypatch):
+    monkeypatch.setattr(cache, "CACHE_WORDS", 50)
+    own = tokens.WordEncoder(vocabulary("word_bpe_49k.json"))
+    own.model = Counting(own.model)
+    texts = [" ".join("w" + "abcdefghij"[k // 100] + "abcdefghij"[k // 10 % 10] + "abcdefghij"[k % 10] for k in range(1000))] * 3
+    ids = own.encode(texts)
+    assert ids == [np.array(own.library.encode(t).ids, own.dtype).tobytes() for t in texts]
+    assert len(own.model.asked) == 1000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | TEXT | st.sampled_from(["", " ", "\n", "plain words, it's 12", "日本 and plain", "<|endoftext|> a<| b", "\tx y"]), max_size=6))
+def test_batches_of_plain_and_other_pieces(texts):
+    want = [OWN.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    batch = pa.array(["before", *texts, "after"], pa.string()).slice(1, len(texts))
+    for given_as in (texts, batch):
+        assert [np.frombuffer(ids, OWN.dtype).tolist() for ids in OWN.encode(given_as)] == want
