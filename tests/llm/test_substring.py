@@ -4,6 +4,8 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -116,3 +118,29 @@ def test_windows_that_share_a_hash_are_told_apart(spark):
     for hash_bits in (64, 6):
         got = {(r["rank"], r.n_removed, r.kept) for r in substring.repeated_words(spark, docs, hash_bits).collect() if r.n_removed}
         assert got == want
+
+
+def test_a_batch_hashes_each_word_once(monkeypatch):
+    asked = []
+
+    class Counting:
+        @staticmethod
+        def xxh64_intdigest(word, seed):
+            asked.append(word)
+            return xxhash.xxh64_intdigest(word, seed)
+
+    monkeypatch.setattr(substring, "xxhash", Counting)
+    words = [f"{k:03}" * 30 for k in range(40)]  # longer than what a cache would keep
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array([" ".join(words), " ".join(words[::-1]), None])], ["rank", "key", "text"])
+    (out,) = substring._anchor_runs(iter([batch]))
+    assert len(asked) == 40
+    assert {r["rank"] for r in out.to_pylist()} == {1, 2}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("abß日 \t\n\v\f\r\x1c\x85\xa0"), max_size=30), max_size=6))
+def test_hashes_of_a_batch(texts):
+    batch = pa.array(["x y", *texts, " z"], pa.string())
+    for given_as, of in ((batch, ["x y", *texts, " z"]), (batch.slice(1, len(texts)), texts)):
+        got = substring.text_hashes(given_as)
+        assert [h.tolist() for h in got] == [substring.word_hashes(substring.split(t)).tolist() for t in of]

@@ -27,14 +27,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.cache import Cache
 from treeline.llm.common import drop, prepare, stage, text_key
 
 WINDOW = 20
@@ -46,8 +47,6 @@ SPAN = 64
 #: By a run's length: what its predecessor's hash is multiplied by; the second kind is for windows' check bits.
 SHIFTS, CHECKS = ({1 << k: np.uint64(pow(m, 1 << k, 1 << 64)) for k in range(12)} for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
-_hash = Cache(lambda w: xxhash.xxh64_intdigest(w, 7), 300_000).__getitem__
-
 
 def split(text: str | None) -> list[bytes]:
     """Words, which ASCII white space parts."""
@@ -55,7 +54,18 @@ def split(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
+
+
+def text_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """``word_hashes(split(text))`` of every text, each distinct word of the batch hashed once."""
+    trimmed = pc.ascii_trim_whitespace(texts)
+    # A null has no words, while an empty text would have an empty one.
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), pa.scalar(None, trimmed.type), trimmed))
+    coded = words.flatten().dictionary_encode()
+    own = word_hashes(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+    ends = words.offsets.to_numpy().tolist()
+    return [own[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def rolled(words: np.ndarray, n: int, shifts: dict[int, np.uint64] = SHIFTS) -> np.ndarray:
@@ -80,7 +90,12 @@ def rolled(words: np.ndarray, n: int, shifts: dict[int, np.uint64] = SHIFTS) ->
 
 def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of every window, and the hashes of grams that the text holds twice."""
-    grams = rolled(word_hashes(words), gram)
+    return hash_anchors(word_hashes(words), window, gram)
+
+
+def hash_anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`anchors` from the words' hashes."""
+    grams = rolled(hashes, gram)
     ordered = np.sort(grams)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     least, have, want = grams, 1, window - gram + 1
@@ -94,7 +109,9 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
 def runs_of(values: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and length of the runs in which *values* (and *more*) stay the same."""
     change = np.ones(len(values), bool)
-    change[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in (values, *more)])
+    change[1:] = values[1:] != values[:-1]
+    for v in more:
+        change[1:] |= v[1:] != v[:-1]
     begun = np.flatnonzero(change)
     return begun, np.diff(np.append(begun, len(values)))
 
@@ -189,11 +206,10 @@ def _anchor_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["value", "rank", "key", "start", "n", "times"]
     for batch in batches:
         parts: list[list] = [[] for _ in names]
-        for rank, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = split(text)
+        for rank, key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_hashes(batch.column(2))):
             if len(words) < WINDOW:
                 continue
-            values, twice = anchors(words)
+            values, twice = hash_anchors(words)
             begun, sizes = runs_of(values)
             # Windows of one run can be equal to each other if its anchor stands at two places.
             times = 1 + np.isin(values[begun], twice) if len(twice) else np.ones(len(begun))
@@ -220,8 +236,7 @@ def _windows(bits: int, hash_bits: int):
             lists = batch.column(2).offsets.to_numpy()
             runs = batch.column(2).values
             starts, sizes = (runs.field(k).to_numpy() for k in ("start", "n"))
-            for doc, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), lists, lists[1:]):
-                words = word_hashes(split(text))
+            for doc, words, a, b in zip(batch.column(0).to_pylist(), text_hashes(batch.column(1)), lists, lists[1:]):
                 own, check = rolled(words, WINDOW).view(np.int64), rolled(words, WINDOW, CHECKS)
                 change = np.zeros(len(own) + 1, np.int32)
                 np.add.at(change, starts[a:b], 1)
